@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corelens.llm import language_id, license_scan, media, quality_rules, toxicity
+from corelens.llm import language_id, license_scan, media, quality_rules, simhash, toxicity
 from corelens.session import table
 
 
@@ -20,6 +20,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -28,5 +32,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_transport_streams, op5_license_scan, op8_quality_rules, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op4_transport_streams, op5_license_scan, op6_simhash_balls, op8_quality_rules, op10_language_id)}
 ORACLES = {"op8_quality_rules": quality_rules.ORACLE}
