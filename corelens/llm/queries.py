@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corelens.llm import language_id, license_scan, media, quality_rules, simhash, toxicity
+from corelens.llm import language_id, license_scan, media, mixing, quality_rules, simhash, toxicity
 from corelens.session import table
 
 
@@ -28,9 +28,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).drop("h")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_transport_streams, op5_license_scan, op6_simhash_balls, op8_quality_rules, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op4_transport_streams, op5_license_scan, op6_simhash_balls, op8_quality_rules, op9_source_mix, op10_language_id)}
 ORACLES = {"op8_quality_rules": quality_rules.ORACLE}
