@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corelens.llm import language_id, license_scan, media, mixing, quality_rules, simhash, toxicity
+from corelens.llm import language_id, license_scan, media, mixing, quality_rules, resampling, simhash, toxicity
 from corelens.session import table
 
 
@@ -12,6 +12,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.importance_resampling(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
@@ -36,5 +40,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_transport_streams, op5_license_scan, op6_simhash_balls, op8_quality_rules, op9_source_mix, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_importance_resampling, op4_transport_streams, op5_license_scan, op6_simhash_balls, op8_quality_rules, op9_source_mix, op10_language_id)}
 ORACLES = {"op8_quality_rules": quality_rules.ORACLE}
