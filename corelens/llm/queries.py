@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corelens.llm import language_id, license_scan, media, mixing, quality_rules, resampling, simhash, toxicity
+from corelens.llm import language_id, license_scan, media, mixing, packing, quality_rules, resampling, simhash, toxicity
 from corelens.session import table
 
 
@@ -28,6 +28,10 @@ def op6_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -40,5 +44,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_importance_resampling, op4_transport_streams, op5_license_scan, op6_simhash_balls, op8_quality_rules, op9_source_mix, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_importance_resampling, op4_transport_streams, op5_license_scan, op6_simhash_balls, op7_retrieval_packing, op8_quality_rules, op9_source_mix, op10_language_id)}
 ORACLES = {"op8_quality_rules": quality_rules.ORACLE}
