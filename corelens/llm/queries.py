@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corelens.llm import language_id, license_scan, media, mixing, packing, quality_rules, resampling, simhash, toxicity
+from corelens.llm import language_id, license_scan, media, mixing, packing, quality_rules, resampling, simhash, suffix_dedup, toxicity
 from corelens.session import table
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,5 +48,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_importance_resampling, op4_transport_streams, op5_license_scan, op6_simhash_balls, op7_retrieval_packing, op8_quality_rules, op9_source_mix, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_toxicity, op3_importance_resampling, op4_transport_streams, op5_license_scan, op6_simhash_balls, op7_retrieval_packing, op8_quality_rules, op9_source_mix, op10_language_id)}
 ORACLES = {"op8_quality_rules": quality_rules.ORACLE}
