@@ -62,15 +62,15 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
+    """(doc_id, h, fp) of every row; h is a hash of the text as it is, fp the fingerprint as a signed long."""
     bounded_batches(docs.sparkSession)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+            values = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values.view(np.int64))], names=["doc_id", "h", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(hashed, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text")).mapInArrow(hashed, "doc_id long, h long, fp long")
 
 
 def _masks(bits: int) -> list[int]:
@@ -185,11 +185,28 @@ def _exact(rows: DataFrame) -> DataFrame:
     return rows.join(centre, "prefix").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).where("a <> b")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits) and component_id (the smallest doc_id reachable over links) of every row."""
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, h, fp and component_id of every row."""
     prints = written(fingerprints(docs), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     links = fingerprint_links(distinct.where("rep is not null"))
     linked = connected_components(written(links, "links"), engine="rounds")
     names = distinct.join(linked.select(F.col("vertex").alias("rep"), "component"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(names, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(names, "fp", "left")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits) and component_id (the smallest doc_id reachable over links) of every row."""
+    return _grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One document of each component, the one with the smallest doc_id; same columns. Of rows without an id, which no
+    component can be named after, one of each text stays if none in its component has an id."""
+    grouped = _grouped(docs)
+    kept = grouped.where("doc_id = component_id").groupBy("doc_id").agg(F.min("h").alias("_h")).withColumnRenamed("doc_id", "_id")
+    nameless = grouped.where("component_id is null").select(F.col("h").alias("_h")).distinct()
+    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_h": F.xxhash64("text")})
+    named = keyed.where("_id is not null").join(kept, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"])
+    others = keyed.where("_id is null").join(nameless, "_h", "left_semi").dropDuplicates(["_h"])
+    return named.unionByName(others).select(*docs.columns)

@@ -179,3 +179,15 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, extra: tuple[str, ...
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return toxicity_scores(docs, fit(training_rows(docs, labels)))
+
+
+def without_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """The rows that the model doesn't reject, with all their columns."""
+    bounded_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(t) < THRESHOLD for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
