@@ -19,7 +19,7 @@ from corelens.operators.graphs import Graph
 from corelens.operators.peel import Arrays, _flat, arrays_from_flat, core_members
 from corelens.session import written
 
-ARRAY_ARCS = 20_000_000
+ARRAY_ARCS = 8_000_000
 
 
 def _shared_arrays(graph: Graph):

@@ -39,12 +39,12 @@ def _without_header(lines: DataFrame) -> DataFrame:
 
 def read_directed(spark: SparkSession, path: str) -> Graph:
     rows = _without_header(_numbers(_lines(spark, path)))
-    edges = rows.select(F.col("t")[0].alias("src"), F.explode(F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0)))).alias("dst"))
-    return graphs.directed(edges, rows.select(F.col("t")[0].alias("id")))
+    edges = rows.select(F.get("t", F.lit(0)).alias("src"), F.explode(F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0)))).alias("dst"))
+    return graphs.directed(edges, rows.select(F.get("t", F.lit(0)).alias("id")))
 
 
 def read_degrees(spark: SparkSession, path: str) -> DataFrame:
-    return _numbers(_lines(spark, path)).select(F.col("t")[0].alias("id"), F.col("t")[1].alias("in_degree"), F.col("t")[2].alias("out_degree"))
+    return _numbers(_lines(spark, path)).select(F.get("t", F.lit(0)).alias("id"), F.get("t", F.lit(1)).alias("in_degree"), F.get("t", F.lit(2)).alias("out_degree"))
 
 
 def read_bipartite(spark: SparkSession, path: str) -> Graph:
@@ -61,35 +61,35 @@ def read_bipartite_counts(spark: SparkSession, path: str) -> tuple[int, int]:
 
 def read_multilayer(spark: SparkSession, path: str, layer_order: tuple | None = None) -> Graph:
     rows = _without_header(_numbers(_lines(spark, path)))
-    edges = rows.select(F.col("t")[0].alias("layer"), F.col("t")[1].alias("a"), F.col("t")[2].alias("b"))
+    edges = rows.select(F.get("t", F.lit(0)).alias("layer"), F.get("t", F.lit(1)).alias("a"), F.get("t", F.lit(2)).alias("b"))
     return graphs.multilayer(edges, layer_order=layer_order)
 
 
 def read_skyline(spark: SparkSession, path: str, dims: int = 2) -> DataFrame:
     """(c0, ..., v) of a directed or multilayer skyline."""
     rows = _without_header(_numbers(_lines(spark, path)))
-    members = F.slice("t", F.lit(dims + 2), F.col("t")[dims].cast("int"))
-    return rows.select(*[F.col("t")[i].cast("int").alias(f"c{i}") for i in range(dims)], F.explode(members).alias("v"))
+    members = F.slice("t", F.lit(dims + 2), F.get("t", F.lit(dims)).cast("int"))
+    return rows.select(*[F.get("t", F.lit(i)).cast("int").alias(f"c{i}") for i in range(dims)], F.explode(members).alias("v"))
 
 
 def read_bipartite_skyline(spark: SparkSession, path: str) -> DataFrame:
     """(c0, c1, v) with right vertices in engine numbers."""
     rows = _without_header(_numbers(_lines(spark, path)))
-    left = F.slice("t", F.lit(4), F.col("t")[2].cast("int"))
-    right = F.expr(f"transform(slice(t, cast(t[2] as int) + 5, cast(t[cast(t[2] as int) + 3] as int)), x -> x + {graphs.RIGHT})")
-    return rows.select(F.col("t")[0].cast("int").alias("c0"), F.col("t")[1].cast("int").alias("c1"), F.explode(F.concat(left, right)).alias("v"))
+    left = F.slice("t", F.lit(4), F.get("t", F.lit(2)).cast("int"))
+    right = F.expr(f"transform(slice(t, cast(get(t, 2) as int) + 5, cast(get(t, cast(get(t, 2) as int) + 3) as int)), x -> x + {graphs.RIGHT})")
+    return rows.select(F.get("t", F.lit(0)).cast("int").alias("c0"), F.get("t", F.lit(1)).cast("int").alias("c1"), F.explode(F.concat(left, right)).alias("v"))
 
 
 def read_frontier(spark: SparkSession, path: str, plus_one: bool = False) -> DataFrame:
     """(c0, max_last); plus_one for the bipartite format."""
-    return _numbers(_lines(spark, path)).select(F.col("t")[0].cast("int").alias("c0"), (F.col("t")[1] - int(plus_one)).cast("int").alias("max_last"))
+    return _numbers(_lines(spark, path)).select(F.get("t", F.lit(0)).cast("int").alias("c0"), (F.get("t", F.lit(1)) - int(plus_one)).cast("int").alias("max_last"))
 
 
 def read_multilayer_frontier(spark: SparkSession, path: str) -> DataFrame:
     """(prefix, max_last, free): free is the index of the coordinate whose maximum is given."""
     lines = _numbers(_lines(spark, path), "int")
-    first = lines.where("block = 0").groupBy("file").agg(F.min_by("t", "at")[0].alias("free"))
-    return _without_header(lines).join(F.broadcast(first), "file").select(F.slice("t", F.lit(1), F.size("t") - 1).alias("prefix"), F.col("t")[F.size("t") - 1].alias("max_last"), "free")
+    first = lines.where("block = 0").groupBy("file").agg(F.get(F.min_by("t", "at"), F.lit(0)).alias("free"))
+    return _without_header(lines).join(F.broadcast(first), "file").select(F.slice("t", F.lit(1), F.size("t") - 1).alias("prefix"), F.get("t", F.size("t") - 1).alias("max_last"), "free")
 
 
 def read_updates(spark: SparkSession, path: str, edge_width: int = 2) -> tuple[DataFrame, DataFrame]:
