@@ -11,10 +11,17 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def smallest_hashes(keys: DataFrame, id_col: str, class_col: str, per_class: int) -> DataFrame:
-    """At most per_class rows of each class, those with the smallest hash of the id.
+def smallest_hashes(keys: DataFrame, id_col: str, class_col: str, per_class: int | dict) -> DataFrame:
+    """At most per_class rows of each class (a dict has a limit for each class, 0 for others), those with the smallest hash of the id.
 
-    Spark drops rows beyond the limit before the shuffle, so no class gathers in one task.
+    Spark drops rows beyond the largest limit before the shuffle, so the task of a class reads that many rows from each task at most.
     """
+    most = max(per_class.values()) if isinstance(per_class, dict) else per_class
     order = Window.partitionBy(class_col).orderBy(F.xxhash64(F.col(id_col)), F.col(id_col))
-    return keys.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_class).drop("_rank")
+    ranked = keys.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most)
+    if isinstance(per_class, dict):
+        limit = F.lit(0)
+        for name, n in per_class.items():
+            limit = F.when(F.col(class_col) == name, F.lit(n)).otherwise(limit)
+        ranked = ranked.where(F.col("_rank") <= limit)
+    return ranked.drop("_rank")

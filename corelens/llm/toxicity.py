@@ -1,7 +1,8 @@
 """Toxicity: logistic regression with a counterfactual penalty on identity terms.
 
-Features are the presence of words and of word stems (their first 3 to 6 letters); the model keeps the MAX_FEATURES that
-separate the classes best. Every labelled text that names an identity term also enters as counterfactuals - each term
+Features are words and word stems (their first 4 to 7 letters). Each has two weights, one for its presence and one for its rate, RATE times the
+occurrences over the words plus SMOOTH: some words tell by standing anywhere, others by standing often. The model keeps the MAX_FEATURES that speak for label 1 most clearly
+(likelihood ratio of texts with and without them, counted on the executors). Every labelled text that names an identity term also enters as counterfactuals - each term
 swapped for another of its group, and each term left out - and the loss adds LAMBDA times the squared change of the
 logit, so a neutral mention of a group doesn't raise the score.
 
@@ -27,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corelens.llm.sampling import held_out, smallest_hashes
-from corelens.session import bounded_batches
+from corelens.session import bounded_batches, discard, written
 
 PER_CLASS = {1: 4_000, 0: 8_000}
-MAX_FEATURES, LEAST_ROWS, STEMS = 4_096, 5, (3, 4, 5, 6)
-LAMBDA, RIDGE, ROUNDS, THRESHOLD = 4.0, 1e-3, 400, 0.3
+MAX_FEATURES, LEAST_ROWS, LEAST_GAIN, STEMS = 4_096, 3, 8.0, (4, 5, 6, 7)
+RATE, SMOOTH = 50.0, 30
+LAMBDA, RIDGE, ROUNDS, THRESHOLD = 4.0, 1e-4, 600, 0.3
 
 #: Identity terms by group.
 IDENTITY = (
@@ -48,117 +50,166 @@ _GROUP = {t: g for g in IDENTITY for t in g}
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 
 
-def words_of(text: str | None) -> set[str]:
-    return set(_WORD.findall((text or "").lower()))
+def words_of(text: str | None) -> Counter[str]:
+    return Counter(_WORD.findall((text or "").lower()))
 
 
-def features_of(words: set[str]) -> set[str]:
-    out = set(words)
+def features_of(words: Counter[str]) -> Counter[str]:
+    out = Counter(words)
     for n in STEMS:
-        out.update(w[:n] + "*" for w in words if len(w) >= n)
+        for w, k in words.items():
+            if len(w) >= n:
+                out[w[:n] + "*"] += k
     return out
 
 
+def rates(words: Counter[str], wanted) -> dict[str, float]:
+    """Rates of the features of a text that are in `wanted`."""
+    found: dict[str, int] = {}
+    for w, k in words.items():
+        if w in wanted:
+            found[w] = found.get(w, 0) + k
+        for n in STEMS:
+            if len(w) >= n and (stem := w[:n] + "*") in wanted:
+                found[stem] = found.get(stem, 0) + k
+    scale = RATE / (words.total() + SMOOTH)
+    return {f: k * scale for f, k in found.items()}
+
+
 @dataclass
 class ToxicityModel:
-    bias: float = -30.0
-    weights: dict[str, float] = field(default_factory=dict)
+    """weights: of a feature's presence and of its rate."""
 
-    def __post_init__(self) -> None:
-        self.whole = {k: v for k, v in self.weights.items() if not k.endswith("*")}
-        self.stems = {n: {k[:-1]: v for k, v in self.weights.items() if k.endswith("*") and len(k) == n + 1} for n in STEMS}
+    bias: float = -30.0
+    weights: dict[str, tuple[float, float]] = field(default_factory=dict)
 
     def score(self, text: str | None) -> float:
-        words = words_of(text)
-        z = self.bias + math.fsum(self.whole[w] for w in self.whole.keys() & words)
-        for n, table in self.stems.items():
-            z += math.fsum(table[s] for s in table.keys() & {w[:n] for w in words if len(w) >= n})
+        found = rates(words_of(text), self.weights)
+        z = self.bias + math.fsum(self.weights[f][0] + self.weights[f][1] * x for f, x in found.items())
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def counterfactuals(words: set[str]) -> list[set[str]]:
+def counterfactuals(words: Counter[str]) -> list[Counter[str]]:
     """For each identity term in words: the words with that term swapped for the next of its group, and without it."""
     out = []
-    for term in sorted(words & _GROUP.keys()):
+    for term in sorted(words.keys() & _GROUP.keys()):
         group = _GROUP[term]
-        rest = words - {term}
-        out += [rest | {group[(group.index(term) + 1) % len(group)]}, rest]
+        rest = Counter({w: k for w, k in words.items() if w != term})
+        swapped = rest.copy()
+        swapped[group[(group.index(term) + 1) % len(group)]] += words[term]
+        out += [swapped, rest]
     return out
 
 
-def _select(rows: list[tuple[set[str], int]]) -> list[str]:
-    """The features with the largest likelihood ratio between labels; identity terms in the texts are always kept."""
-    by = (Counter(), Counter())
-    for words, label in rows:
-        by[label].update(features_of(words))
-    n = [sum(label == k for _, label in rows) for k in (0, 1)]
-    terms = {t for words, _ in rows for x in (words, *counterfactuals(words)) for t in x & _GROUP.keys()}
+@dataclass
+class Example:
+    """A labelled text as numbers of selected features and their rates; changed: the same for pairs of the text and a counterfactual."""
+
+    label: int
+    features: tuple[list[int], list[float]]
+    changed: list[tuple] = field(default_factory=list)
 
-    def gain(feature: str) -> float:
-        total = 0.0
-        have = by[0][feature] + by[1][feature]
-        for k in (0, 1):
-            for seen, expected in ((by[k][feature], have * n[k] / sum(n)), (n[k] - by[k][feature], (sum(n) - have) * n[k] / sum(n))):
-                total += 2 * seen * math.log(seen / expected) if seen else 0
-        return total
 
-    kept = [f for f in by[0].keys() | by[1].keys() if by[0][f] + by[1][f] >= LEAST_ROWS]
-    best = sorted(kept, key=lambda f: (-gain(f), f))[:MAX_FEATURES]
-    return sorted(set(best) | terms)
+def example_of(words: Counter[str], label: int, place: dict[str, int]) -> Example:
+    def numbered(w: Counter[str]) -> tuple[list[int], list[float]]:
+        found = sorted((place[f], x) for f, x in rates(w, place).items())
+        return [i for i, _ in found], [x for _, x in found]
 
+    own = numbered(words)
+    return Example(label, own, [(own, numbered(x)) for x in counterfactuals(words)])
 
-def fit(rows: list[tuple[set[str], int]]) -> ToxicityModel:
-    """rows: the words of each labelled text, and its label."""
-    n = [sum(label == k for _, label in rows) for k in (0, 1)]
-    if not rows:
+
+def fit(examples: list[Example], features: list[str]) -> ToxicityModel:
+    n = [sum(x.label == k for x in examples) for k in (0, 1)]
+    if not examples:
         return ToxicityModel()
     if 0 in n:
         return ToxicityModel(math.log((n[1] + 0.5) / (n[0] + 0.5)))
-    place = {f: k for k, f in enumerate(_select(rows))}
 
-    def sparse(sets: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [[place[f] for f in features_of(s) if f in place] for s in sets]
-        return np.repeat(np.arange(len(ids)), [len(x) for x in ids]), np.array([i for x in ids for i in sorted(x)], np.int64)
+    def sparse(rows: list[tuple[list[int], list[float]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at, cols = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows]), np.array([i for ids, _ in rows for i in ids], np.int64)
+        xs = np.array([x for _, xs in rows for x in xs], float)
+        return np.concatenate([at, at]), np.concatenate([cols, cols + len(features)]), np.concatenate([np.ones(len(xs)), xs])
 
-    at, cols = sparse([words for words, _ in rows])
-    y = np.array([label for _, label in rows], float)
+    at, cols, xs = sparse([x.features for x in examples])
+    y = np.array([x.label for x in examples], float)
     share = np.where(y == 1, 0.5 / n[1], 0.5 / n[0])  # either label weighs half
-    pairs = [(words, other) for words, _ in rows for other in counterfactuals(words)]
-    a_at, a_cols = sparse([x for x, _ in pairs])
-    b_at, b_cols = sparse([x for _, x in pairs])
-    d_at, d_cols, d_sign = np.concatenate([a_at, b_at]), np.concatenate([a_cols, b_cols]), np.concatenate([np.ones(len(a_at)), -np.ones(len(b_at))])
-    w, bias, size = np.zeros(len(place)), 0.0, max(1, len(place))
+    pairs = [pair for x in examples for pair in x.changed]
+    a_at, a_cols, a_xs = sparse([a for a, _ in pairs])
+    b_at, b_cols, b_xs = sparse([b for _, b in pairs])
+    d_at, d_cols, d_xs = np.concatenate([a_at, b_at]), np.concatenate([a_cols, b_cols]), np.concatenate([a_xs, -b_xs])
+    size = 2 * len(features)
+    w, bias = np.zeros(size), 0.0
     moment, square = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, ROUNDS + 1):
-        z = np.bincount(at, w[cols], len(rows)) + bias
+        z = np.bincount(at, w[cols] * xs, len(examples)) + bias
         pull = share * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        g = np.bincount(cols, pull[at], size) + RIDGE * np.pad(w, (0, size - len(w)))
+        g = np.bincount(cols, pull[at] * xs, size) + RIDGE * w
         if pairs:
-            change = np.bincount(d_at, w[d_cols] * d_sign, len(pairs)) / len(pairs)
-            g += 2 * LAMBDA * np.bincount(d_cols, change[d_at] * d_sign, size)
+            change = np.bincount(d_at, w[d_cols] * d_xs, len(pairs)) / len(pairs)
+            g += 2 * LAMBDA * np.bincount(d_cols, change[d_at] * d_xs, size)
         g = np.append(g, pull.sum())
         moment, square = 0.9 * moment + 0.1 * g, 0.999 * square + 0.001 * g * g
         move = 0.05 * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-        w, bias = w - move[: len(w)], bias - move[-1]
-    return ToxicityModel(float(bias), {f: float(w[k]) for f, k in place.items() if abs(w[k]) > 1e-6})
+        w, bias = w - move[:size], bias - move[-1]
+    both = w.reshape(2, -1).T
+    return ToxicityModel(float(bias), {f: (float(a), float(b)) for f, (a, b) in zip(features, both, strict=True) if abs(a) + abs(b) > 1e-6})
+
+
+def sampled(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] = PER_CLASS) -> DataFrame:
+    """(doc_id, label, text): the bounded sample of labelled rows, one for each document."""
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
+    chosen = smallest_hashes(known, "doc_id", "label", per_class)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    return written(texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "sample")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] = PER_CLASS) -> list[tuple[set[str], int]]:
-    """The bounded sample: distinct words of each text and its label."""
+def selected_features(sample: DataFrame) -> list[str]:
+    """The MAX_FEATURES features with the largest likelihood ratio among those that texts of label 1 have more often, and all identity terms."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = (Counter(), Counter())
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                by[label].update(features_of(words_of(text)).keys())
+        names = list(by[0].keys() | by[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([by[0][f] for f in names], pa.int64()), pa.array([by[1][f] for f in names], pa.int64())], names=["feature", "n0", "n1"])
+
+    n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    n0, n1 = n.get(0, 0), n.get(1, 0)
+    if not n0 or not n1:
+        return []
+    counts = sample.select("label", "text").mapInArrow(counted, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    have, gain = F.col("n0") + F.col("n1"), F.lit(0.0)
+    for seen, total in (("n0", n0), ("n1", n1)):
+        for part, whole in ((F.col(seen), have), (total - F.col(seen), n0 + n1 - have)):
+            gain = gain + F.when(part > 0, 2 * part * F.log(part / (whole * (total / (n0 + n1))))).otherwise(0.0)
+    speaking = counts.where((have >= LEAST_ROWS) & (F.col("n1") * n0 > F.col("n0") * n1)).select("feature", F.round(gain, 9).alias("gain"))
+    best = speaking.where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "feature").limit(MAX_FEATURES).collect()
+    return sorted({r["feature"] for r in best} | _GROUP.keys())
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] = PER_CLASS) -> ToxicityModel:
     bounded_batches(docs.sparkSession)
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    chosen = smallest_hashes(known, "doc_id", "label", max(per_class.values()))
-    chosen = smallest_hashes(chosen.where("label = 1"), "doc_id", "label", per_class[1]).unionByName(smallest_hashes(chosen.where("label = 0"), "doc_id", "label", per_class[0]))
+    sample = sampled(docs, labels, per_class)
+    features = selected_features(sample)
+    place = {f: k for k, f in enumerate(features)}
 
-    def worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [" ".join(sorted(words_of(t))) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], names=["doc_id", "label", "words"])
+            found = [example_of(words_of(t), label, place) for label, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            flat = [[x.features, *(b for _, b in x.changed)] for x in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([[i for i, _ in x] for x in flat], pa.list_(pa.list_(pa.int32()))), pa.array([[v for _, v in x] for x in flat], pa.list_(pa.list_(pa.float64())))], names=["doc_id", "label", "ids", "rates"]
+            )
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    rows = texts.mapInArrow(worded, "doc_id long, label int, words string").collect()
-    once = {r["doc_id"]: (set(r["words"].split()), r["label"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["words"]))}
-    return [once[k] for k in sorted(once)]
+    rows = sample.mapInArrow(numbered, "doc_id long, label int, ids array<array<int>>, rates array<array<double>>").collect()
+    examples = []
+    for r in sorted(rows, key=lambda r: r["doc_id"]):
+        own, *others = zip(r["ids"], r["rates"], strict=True)
+        examples.append(Example(r["label"], own, [(own, x) for x in others]))
+    discard(sample)
+    return fit(examples, features)
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -178,7 +229,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, extra: tuple[str, ...
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return toxicity_scores(docs, fit(training_rows(docs, labels)))
+    return toxicity_scores(docs, train(docs, labels))
 
 
 def without_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:

@@ -20,7 +20,7 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones, doesn't reject."""
-    return toxicity.without_toxic(docs, toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels"))))
+    return toxicity.without_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
