@@ -79,19 +79,18 @@ def _star_round(edges: DataFrame) -> DataFrame:
 
 
 def _rounds(edges: DataFrame) -> DataFrame:
-    """(vertex, component) of every vertex of edges (a < b)."""
-    now = written(edges.mapInPandas(_forest, "a long, b long").distinct(), "cc")
-    state = None
+    """(vertex, component) of every vertex of edges (a < b) that isn't its component's name."""
+    now, state, most = written(edges.mapInPandas(_forest, "a long, b long").distinct(), "cc"), None, None
     while True:
-        then = now
-        now = written(_star_round(then), "cc")
         # A fixed point is a set of stars: then no vertex is both a centre and a leaf, and each leaf has one centre.
         # decimal sums cannot wrap
         summary = now.agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        discard(then)
         if tuple(summary) == state:
             return now.select(F.col("b").alias("vertex"), F.col("a").alias("component"))
-        state = tuple(summary)
+        state, most = tuple(summary), 2 * summary[0]  # each edge gives two at most
+        then = now
+        now = written(_star_round(then), "cc", most)
+        discard(then)
 
 
 def _one_task(edges: DataFrame) -> DataFrame:
@@ -106,6 +105,11 @@ def _whole_forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame([(low, x) for x in list(sets.parent) if (low := sets.find(x)) != x], columns=["a", "b"], dtype="int64")
 
 
+def linked_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(vertex, component) of every vertex that has a smaller one in its component; edges are read once."""
+    return _rounds(_canonical(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null")))
+
+
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None, a: str = "a", b: str = "b", engine: str = "auto") -> DataFrame:
     """(vertex, component) for every vertex that an edge names or that `vertices` (its first column) lists.
 

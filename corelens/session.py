@@ -31,9 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, label: str = "t") -> DataFrame:
-    """Write df as a table of the shared folder and read it back: cuts lineage and survives lost executors."""
+#: Rows of a file of an intermediate table whose size is known beforehand.
+ROWS_PER_FILE = 100_000
+
+
+def written(df: DataFrame, label: str = "t", most_rows: int | None = None) -> DataFrame:
+    """Write df as a table of the shared folder and read it back: cuts lineage and survives lost executors.
+
+    most_rows: a proven upper bound of its rows; small tables are then written by few tasks instead of one a shuffle partition.
+    """
     spark = df.sparkSession
+    if most_rows is not None:
+        df = df.coalesce(max(1, -(-most_rows // ROWS_PER_FILE)))
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
