@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Rows of a file of an intermediate table whose size is known beforehand.
-ROWS_PER_FILE = 100_000
+ROWS_PER_FILE = 50_000
 
 
 def written(df: DataFrame, label: str = "t", most_rows: int | None = None) -> DataFrame:
@@ -50,6 +50,12 @@ def written(df: DataFrame, label: str = "t", most_rows: int | None = None) -> Da
     return out
 
 
+def few_files(df: DataFrame, rows: int, rows_per_file: int) -> DataFrame:
+    """df in partitions of about rows_per_file rows, without a shuffle, but never fewer than two a core: results of small inputs don't end
+    in hundreds of tiny files, and large ones keep their partitions."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // rows_per_file)))
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables made by written() once nothing reads them any more."""
     for df in tables:
