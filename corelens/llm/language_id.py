@@ -28,9 +28,9 @@ from corelens.llm.sampling import held_out, smallest_hashes
 from corelens.session import bounded_batches
 
 BUCKETS, ORDERS = 1 << 16, (1, 2, 3)
-PER_LANGUAGE, MAX_LANGUAGES, PASSES = 1_000, 200, 2
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
-SCALE = 100.0
+PER_LANGUAGE, MAX_LANGUAGES, PASSES = 1_000, 200, 4
+ALPHA, BETA, L1, L2 = 0.05, 1.0, 1e-4, 1e-4
+SCALE = 20.0
 UNKNOWN = "und"
 
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
