@@ -160,3 +160,32 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, t
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     kinds = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[x.split()[1]] for x in SCHEMA.split(", ")]
     return narrow.mapInArrow(scanned, SCHEMA)
+
+
+def oracle() -> str:
+    """The same scan as SQL: every template against every line."""
+    quoted = lambda words: ", ".join(f"({k}, '{label}', '{w}')" for k, label, ws in words for w in sorted(ws))
+    templates = [(k, label, fold(t.encode()).decode().split()) for k, (label, t) in enumerate((label, t) for label, ts in TEMPLATES.items() for t in ts)]
+    phrases = [(k, label, phrase.split()) for k, (phrase, label) in enumerate(BASE_PHRASES.items())]
+    starts = " UNION ALL ".join(
+        f"SELECT w0.r, '{label}' AS label, w0.i FROM u AS w0" + "".join(f" JOIN u AS w{j} ON w{j}.r = w0.r AND w{j}.i = w0.i + {j} AND w{j}.word = '{w}'" for j, w in enumerate(ws) if j) + f" WHERE w0.word = '{ws[0]}'"
+        for _, label, ws in phrases
+    )
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT r, regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM d),
+u AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM w),
+p AS ({starts}),
+base AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM p GROUP BY r),
+t(k, label, word) AS (VALUES {quoted([(k, label, set(ws)) for k, label, ws in templates])}),
+size AS (SELECT k, label, count(*) AS n FROM t GROUP BY k, label),
+l AS (SELECT r, unnest(ls) AS line, generate_subscripts(ls, 1) AS j FROM (SELECT r, string_split(text, chr(10)) AS ls FROM d)),
+lw AS (SELECT DISTINCT r, j, unnest(regexp_extract_all(line, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word FROM l),
+hit AS (SELECT r, label, c / n::DOUBLE AS share FROM (SELECT r, j, k, count(*) AS c FROM lw JOIN t USING (word) GROUP BY r, j, k) JOIN size USING (k) WHERE 5 * c >= 4 * n),
+best AS (SELECT r, max(share) AS share FROM hit GROUP BY r),
+bl AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT r, label FROM p) GROUP BY r),
+al AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM p UNION SELECT r, label FROM hit) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(bl.labels, '') AS base_labels, coalesce(al.labels, '') AS labels,
+  CASE WHEN bl.labels IS NOT NULL THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score
+FROM d JOIN w USING (r) LEFT JOIN base USING (r) LEFT JOIN bl USING (r) LEFT JOIN al USING (r) LEFT JOIN best USING (r)
+"""
