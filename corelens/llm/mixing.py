@@ -75,7 +75,7 @@ def schedule(spark, wanted: list[float], block: int = BLOCK) -> DataFrame:
     points = spark.range(n).select(F.col("id").alias("slot"), ((F.col("id") % (1 << 31)) * F.lit(GOLDEN).cast("long") % SPAN).alias("p")).withColumn("cell", F.expr(f"p div {step}"))
     # arcs: at most CELLS + MAX_SOURCES rows
     mapped = points.join(F.broadcast(arcs_df), "cell").where("p >= lo and p < hi").select("slot", "ix", F.expr(f"slot div {SLOT_CHUNK}").alias("chunk"))
-    counts = written(mapped.groupBy("ix", "chunk").count(), "slots")
+    counts = written(mapped.groupBy("ix", "chunk").count(), "slots", len(wanted) * -(-n // SLOT_CHUNK))
     before = Window.partitionBy("ix").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("ix", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("ix", "chunk").orderBy("slot")

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corelens.llm import language_id, license_scan, media, mixing, packing, quality_rules, resampling, simhash, suffix_dedup, toxicity
-from corelens.session import table
+from corelens.session import few_files, table
+
+#: Documents of a result file, at least.
+DOCS_PER_FILE = 5_000
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return few_files(suffix_dedup.dedup(docs), docs.count(), DOCS_PER_FILE)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,11 +33,13 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return few_files(simhash.near_duplicates(docs), docs.count(), DOCS_PER_FILE)
 
 
 def op7_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return few_files(packing.packed(docs), docs.count(), DOCS_PER_FILE)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +47,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents")).drop("h")
+    docs = table(spark, sf_dir, "documents")
+    return few_files(mixing.mixed(docs).drop("h"), docs.count(), DOCS_PER_FILE)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,4 +56,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_toxicity, op3_importance_resampling, op4_transport_streams, op5_license_scan, op6_simhash_balls, op7_retrieval_packing, op8_quality_rules, op9_source_mix, op10_language_id)}
-ORACLES = {"op8_quality_rules": quality_rules.ORACLE}
+ORACLES = {"op5_license_scan": license_scan.oracle(), "op8_quality_rules": quality_rules.ORACLE}

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corelens.operators.components import connected_components
+from corelens.operators.components import linked_components
 from corelens.session import bounded_batches, written
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -166,10 +166,11 @@ def fingerprint_links(prints: DataFrame, group: int = GROUP, limit: int = GROUP_
     links = None
     rows = _longer(rows, 0, depth) if depth else rows
     while True:
-        crowded = written(rows.groupBy("prefix").count().where(F.col("count") > limit).select("prefix"), "crowded")
-        if depth == 64 or crowded.isEmpty():
+        sizes = rows.groupBy("prefix").count()
+        if depth == 64 or (sizes.agg(F.max("count")).first()[0] or 0) <= limit:
             here, rest = rows, None
         else:
+            crowded = written(sizes.where(F.col("count") > limit).select("prefix"), "crowded")
             here, rest = rows.join(crowded, "prefix", "left_anti"), rows.join(crowded, "prefix", "left_semi")
         met = _met(here, depth) if depth < 64 else _exact(here)
         links = met if links is None else links.unionByName(met)
@@ -188,9 +189,8 @@ def _exact(rows: DataFrame) -> DataFrame:
 def _grouped(docs: DataFrame) -> DataFrame:
     """doc_id, h, fp and component_id of every row."""
     prints = written(fingerprints(docs), "fingerprints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    links = fingerprint_links(distinct.where("rep is not null"))
-    linked = connected_components(written(links, "links"), engine="rounds")
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct", prints.count())
+    linked = linked_components(fingerprint_links(distinct.where("rep is not null")))
     names = distinct.join(linked.select(F.col("vertex").alias("rep"), "component"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(names, "fp", "left")
 

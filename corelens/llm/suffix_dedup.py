@@ -189,7 +189,6 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 def _cut_out(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes of wanted entries (c, doc_id, h, lo, hi, off, settled, crowded): rows of a phrase, or of each window of a crowded core."""
     by_doc = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("c", "lo", "hi", "off", "settled", "crowded")).alias("entries")).withColumnsRenamed({"doc_id": "_doc", "h": "_h"})
-    # equal rows give equal phrases: one of them will do
     held = keyed.where(F.octet_length("text") >= LENGTH).join(by_doc, F.expr("doc_id <=> _doc and h = _h")).select("doc_id", "h", "text", "entries")
     names = ["c", "window", "doc_id", "h", "t", "settled", "left", "right"]
     kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
@@ -216,6 +215,7 @@ def _sorted_out(phrases: DataFrame) -> DataFrame:
     """Repeated windows of phrases that occur once, by the suffix orders of their cores."""
 
     def solved(rows: list[tuple]) -> pa.RecordBatch:
+        rows = list({row[:4]: row for row in rows}.values())  # equal rows of the corpus give a phrase twice
         found = []
         if len(rows) > 1:
             core = np.array([r[0] for r in rows], np.int64)
@@ -248,19 +248,23 @@ def repeated_spans(docs: DataFrame, core_limit: int = CORE_LIMIT) -> DataFrame:
     inside = parsed.where("c is null").select(*whole)
     entries = parsed.where("c is not null")
     cores = entries.groupBy("c").agg(F.sum("n").alias("total"), F.min("u").alias("u0"), F.max("u").alias("u1")).where("total > 1").select("c", (F.col("u0") != F.col("u1")).alias("mixed"))
-    repeated = written(entries.join(cores, "c"), "repeated")
+    most = parsed.count()
+    repeated = written(entries.join(cores, "c"), "repeated", most)
     alike = repeated.where("not mixed").select(*whole)
     mixed = repeated.where("mixed").drop("mixed")
-    phrases = written(mixed.groupBy("c", "u").agg(F.sum("n").alias("total"), F.min(F.struct("doc_id", "h", "lo", "hi", "off")).alias("at")), "phrases")
+    phrases = written(mixed.groupBy("c", "u").agg(F.sum("n").alias("total"), F.min(F.struct("doc_id", "h", "lo", "hi", "off")).alias("at")), "phrases", most)
     again = mixed.join(phrases.where("total > 1").select("c", "u"), ["c", "u"], "left_semi").select(*whole)
-    open_cores = phrases.groupBy("c").agg(F.count("*").alias("different"), F.min("total").alias("least")).where("least = 1").select("c", (F.col("different") > core_limit).alias("crowded"))
+    sizes = phrases.groupBy("c").agg(F.count("*").alias("different"), F.min("total").alias("least")).where("least = 1")
+    open_cores = sizes.select("c", (F.col("different") > core_limit).alias("crowded"))
     wanted = phrases.join(open_cores, "c").select("c", "at.*", (F.col("total") > 1).alias("settled"), "crowded")
-    pieces = written(_cut_out(keyed, wanted), "pieces")
-    edges = _sorted_out(pieces.where("c is not null").dropDuplicates(["c", "doc_id", "h", "t"]))
-    windows = pieces.where("c is null").dropDuplicates(["window", "doc_id", "h", "t"])
-    twice = windows.groupBy("window").count().where(F.col("count") > 1).select("window")
-    crowd = windows.where("not settled").join(twice, "window", "left_semi").select("doc_id", "h", F.col("t").alias("lo"), F.col("t").alias("hi"))
-    return inside.unionByName(alike).unionByName(again).unionByName(edges).unionByName(crowd)
+    pieces = _cut_out(keyed, wanted)
+    found = inside.unionByName(alike).unionByName(again)
+    if (sizes.agg(F.max("different")).first()[0] or 0) > core_limit:
+        pieces = written(pieces, "pieces")
+        windows = pieces.where("c is null").dropDuplicates(["window", "doc_id", "h", "t"])
+        twice = windows.groupBy("window").count().where(F.col("count") > 1).select("window")
+        found = found.unionByName(windows.where("not settled").join(twice, "window", "left_semi").select("doc_id", "h", F.col("t").alias("lo"), F.col("t").alias("hi")))
+    return found.unionByName(_sorted_out(pieces.where("c is not null")))
 
 
 def remove(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:

@@ -33,6 +33,8 @@ from corelens.session import bounded_batches, discard, written
 PER_CLASS = {1: 4_000, 0: 8_000}
 MAX_FEATURES, LEAST_ROWS, LEAST_GAIN, STEMS = 4_096, 3, 8.0, (4, 5, 6, 7)
 RATE, SMOOTH = 50.0, 30
+#: Files, and tasks, of the bounded sample.
+SAMPLE_PARTS = 12
 LAMBDA, RIDGE, ROUNDS, THRESHOLD = 4.0, 1e-4, 600, 0.3
 
 #: Identity terms by group.
@@ -161,7 +163,7 @@ def sampled(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] = PER_
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
     chosen = smallest_hashes(known, "doc_id", "label", per_class)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    return written(texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "sample")
+    return written(texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).repartition(SAMPLE_PARTS), "sample")
 
 
 def selected_features(sample: DataFrame) -> list[str]:

@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corelens.llm import mixing, packing, simhash, suffix_dedup, toxicity
-from corelens.session import table, written
+from corelens.session import few_files, table, written
+
+#: Documents of a file that a stage writes, at least.
+DOCS_PER_FILE = 5_000
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -18,29 +21,33 @@ def _recounted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
+def _filed(out: DataFrame, docs: DataFrame) -> DataFrame:
+    return few_files(out, docs.count(), DOCS_PER_FILE)
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones, doesn't reject."""
-    return toxicity.without_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return _filed(toxicity.without_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return simhash.representatives(docs)
+    return _filed(simhash.representatives(docs), docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the byte strings that repeat across them."""
-    return _recounted(suffix_dedup.dedup_documents(docs))
+    return _filed(_recounted(suffix_dedup.dedup_documents(docs)), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    return _recounted(mixing.mix_documents(docs))
+    return _filed(_recounted(mixing.mix_documents(docs)), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences."""
-    return packing.packed(docs)
+    return _filed(packing.packed(docs), docs)
 
 
 STAGES = [
