@@ -51,8 +51,7 @@ def encoder(path: str | None = None):
 
 
 def token_ids(text: str | None, path: str | None = None) -> np.ndarray:
-    ids = encoder(path).encode_to_numpy(text or "", disallowed_special=()).astype("<u4")
-    return np.append(ids, np.uint32(END))
+    return np.array([*encoder(path).encode_ordinary(text or ""), END], "<u4")
 
 
 class ShardIndex:
@@ -73,9 +72,10 @@ class ShardIndex:
         norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if n else 1.0))
         self.first, self.df, self.docs = first, df, docs
         self.weight = idf[term_of] * tf * (K1 + 1) / (tf + norm[docs])
-        shared = df[term_of] > 1  # a word of one document finds none
-        by_doc = np.lexsort((term_of, df[term_of], docs))
-        by_doc = by_doc[shared[by_doc]]
+        # Per document, its words that other documents share, rarest first.
+        shared = np.flatnonzero(df[term_of] > 1)  # a word of one document finds none
+        key = (docs[shared] << 40) | (df[term_of[shared]] << 24) | (shared & 0xFFFFFF)
+        by_doc = shared[np.argsort(key)]
         self.terms = term_of[by_doc]
         self.bounds = np.searchsorted(docs[by_doc], np.arange(n + 1))
         self.n = n
