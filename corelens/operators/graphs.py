@@ -96,6 +96,11 @@ class Graph:
     def max_degrees(self) -> DataFrame:
         return self.degrees().groupBy("dim").agg(F.max("degree").alias("max_degree"))
 
+    def sizes(self) -> DataFrame:
+        """One row: vertices bound by each coordinate alone (left and right of a bipartite graph), all vertices, and edges."""
+        own = [F.count_if(F.col("dims").bitwiseAND(F.lit(1 << i)) != 0).alias(f"n_{i}") for i in range(self.dims)]
+        return self.vertices().agg(*own, F.count("*").alias("n_vertices")).crossJoin(self.edges.agg(F.count("*").alias("n_edges")))
+
     def has_edges(self, asked: DataFrame) -> DataFrame:
         """The rows of `asked` (the model's edge columns) that are edges."""
         return asked.join(self.edges, self.edges.columns, "left_semi")

@@ -127,6 +127,13 @@ ORACLES = {
     "bip_degree_profile": f"""WITH e AS ({BIP}) SELECT dim, degree, count(*) AS n FROM (SELECT 0 AS dim, count(*) AS degree FROM e GROUP BY u UNION ALL SELECT 1, count(*) FROM e GROUP BY v) GROUP BY ALL""",
     "bip_max_degrees": f"""WITH e AS ({BIP}) SELECT 0 AS dim, max(n) AS max_degree FROM (SELECT count(*) AS n FROM e GROUP BY u) UNION ALL SELECT 1, max(n) FROM (SELECT count(*) AS n FROM e GROUP BY v)""",
     "bip_is_edge": f"SELECT u, v FROM ({BIP}) WHERE u = v AND u IN (SELECT c_custkey FROM customer) AND v IN (SELECT p_partkey FROM part)",
+    "bip_sizes": f"WITH e AS ({BIP}) SELECT count(DISTINCT u) AS n_0, count(DISTINCT v) AS n_1, count(DISTINCT u) + count(DISTINCT v) AS n_vertices, count(*) AS n_edges FROM e",
+    "ml_nodes": f"SELECT a AS v FROM ({ML}) UNION SELECT b FROM ({ML})",
+    "bip_text_source": LOC,
+    "vertex_cores": bip_grid(LOC) + " SELECT v_side, v, string_agg(core_id::VARCHAR, ',' ORDER BY core_id) AS cores FROM sky JOIN points USING (c0, c1) GROUP BY v_side, v",
+    "axis_maxima": bip_grid(LOC) + " SELECT max(c0) AS c0, max(c1) AS c1 FROM points",
+    "sweep_order": bip_grid(LOC) + " SELECT c0, c1, row_number() OVER (ORDER BY c1 DESC, c0) AS place, c0 = 2 AND c1 = 5 AS is_2_5 FROM points",
+    "stream_replay_skyline": bip_grid(_AFTER_BOTH) + " SELECT c0, c1, v_side, v FROM sky",
     "ml_edge_counts_rollup": f"SELECT layer, count(*) AS n_edges FROM ({ML}) GROUP BY ROLLUP (layer)",
     "dir_adjacency": f"""WITH e AS ({DIR}) SELECT 0 AS dim, dst AS v, string_agg(src::VARCHAR, ',' ORDER BY src) AS neighbours FROM e GROUP BY dst
       UNION ALL SELECT 1, src, string_agg(dst::VARCHAR, ',' ORDER BY dst) FROM e GROUP BY src""",
@@ -202,4 +209,5 @@ def _changes() -> str:
     return f"SELECT *, 'enter' AS change FROM (({new}) EXCEPT ({old})) UNION ALL SELECT *, 'leave' FROM (({old}) EXCEPT ({new}))"
 
 
+ORACLES["component_members_list"] = f"SELECT component, string_agg(v::VARCHAR, ',' ORDER BY v) AS members FROM ({_labelled(_dir_core(8, 8), _DIR_LINKS)}) GROUP BY component"
 ORACLES |= {"ab_skyline_delta": _delta(), "ab_membership_changes": _changes()}

@@ -154,6 +154,15 @@ class CoreIndex:
 
     # What the index holds
 
+    def vertex_cores(self) -> DataFrame:
+        """(v, cores): the sorted core_ids of each vertex's skyline points."""
+        g = self.graph
+        return self.skyline.join(self.points.select("core_id", *g.coordinates), g.coordinates).groupBy("v").agg(F.sort_array(F.collect_list("core_id")).alias("cores"))
+
+    def axis_maxima(self) -> DataFrame:
+        """One row: the largest value of each coordinate."""
+        return self.points.agg(*[F.max(c).alias(c) for c in self.graph.coordinates])
+
     def subgraphs(self) -> DataFrame:
         """(core_id, component, v): each point's own vertices by component of its core."""
         g = self.graph
@@ -190,7 +199,11 @@ class CoreIndex:
         own = self.points.agg(F.count("*").alias("cores"), F.sum("members").alias("memberships"), F.sum(8 + 4 * F.col("members")).cast("long").alias("core_bytes"))
         subs = self.subgraphs().select("core_id", "component").distinct().agg(F.count("*").alias("subgraphs"))
         size = block_plans.index_bytes(self.tree, self.graph.dims).withColumnRenamed("bytes", "tree_bytes")
-        return own.crossJoin(subs).crossJoin(size)
+        out = own.crossJoin(subs).crossJoin(size)  # single rows
+        if self.forest is None:
+            return out
+        links = self.connect_edges().agg(F.count("*").alias("connect_edges")).crossJoin(self.out_edges().agg(F.count("*").alias("out_edges")))
+        return out.crossJoin(links).withColumn("annotation_bytes", F.col("height") * F.col("subgraphs") * 4 + (F.col("out_edges") + F.col("connect_edges")) * 8)
 
     def explain(self, t: Sequence[int]) -> str:
         """The physical plan of a membership search."""
@@ -210,6 +223,11 @@ def component_sizes(components: DataFrame) -> DataFrame:
     return components.groupBy("component").agg(F.count("*").alias("size"))
 
 
+def component_members(components: DataFrame) -> DataFrame:
+    """(component, members): sorted vertex arrays."""
+    return components.groupBy("component").agg(F.sort_array(F.collect_set("v")).alias("members"))
+
+
 def largest_components(components: DataFrame, k: int) -> DataFrame:
     """The k largest components, ties by the smaller name."""
     return component_sizes(components).orderBy(F.desc("size"), "component").limit(k)

@@ -37,6 +37,17 @@ def batch_sizes(index: CoreIndex, queries: DataFrame) -> DataFrame:
     return queries.join(sizes, "qid", "left").withColumn("size", F.coalesce("size", F.lit(0)).cast("long"))
 
 
+def update_batches(graph: Graph, sizes: Sequence[int] = (1, 4, 16, 64, 256, 1024), seed: int = 0) -> DataFrame:
+    """(size, edge columns): for each size so many of the graph's edges, the same for the same seed."""
+    edges = graph.edges
+    order = F.xxhash64(F.lit(seed), *[F.col(c) for c in edges.columns])
+    parts = [edges.orderBy(order, *edges.columns).limit(n).select(F.lit(n).alias("size"), *edges.columns) for n in sizes]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def timed(name: str, run: Callable[[], DataFrame], repeats: int = 1) -> dict:
     """Rows and mean seconds of a query's runs."""
     seconds, rows = [], 0

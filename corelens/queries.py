@@ -6,17 +6,21 @@ on the next line of an order; ml: the same pairs undirected, in layers by the fi
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corelens.functions import boxes
+from corelens.functions import boxes, vectors
 from corelens.operators import decompose, graphs
 from corelens.operators.components import connected_components
 from corelens.operators.graphs import Graph
 from corelens.operators.peel import core_members, induced_links
 from corelens.plans import blocks, maintain, workload
-from corelens.plans.index import CoreIndex, component_sizes, largest_components, merge_pieces
-from corelens.session import table, written
+from corelens.plans.index import CoreIndex, component_members, component_sizes, largest_components, merge_pieces
+from corelens.session import shared_dir, table, written
+from corelens.sources import readers
+from corelens.streaming.replay import replay, version_path
 
 FANOUT = 8
 
@@ -110,6 +114,20 @@ def dir_adjacency(spark, d):
     return _dir(spark, d).adjacency().select("dim", "v", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("neighbours"))
 
 
+def bip_sizes(spark, d):
+    return _bip(spark, d).sizes()
+
+
+def ml_nodes(spark, d):
+    return _ml(spark, d).vertices().select("v")
+
+
+def bip_text_source(spark, d):
+    path = f"{shared_dir(spark)}/edges-{uuid.uuid4().hex}"
+    _loc(spark, d).edges.select(F.concat_ws(" ", "u", "v").alias("value")).write.text(path)
+    return readers.read_bipartite(spark, path).edges
+
+
 # Cores and components
 
 
@@ -265,8 +283,8 @@ def ab_batch_components(spark, d):
 
 def random_thresholds_seeded(spark, d):
     i = _loc_index(spark, d)
-    vectors = decompose.threshold_vectors(decompose.frontier(i.skyline, i.graph), i.graph)
-    return workload.batch_sizes(i, workload.random_thresholds(vectors, i.graph, 10_000, 7))
+    valid = decompose.threshold_vectors(decompose.frontier(i.skyline, i.graph), i.graph)
+    return workload.batch_sizes(i, workload.random_thresholds(valid, i.graph, 10_000, 7))
 
 
 def merged_pieces(spark, d):
@@ -343,6 +361,31 @@ def block_bitmap_sizes(spark, d):
     return blocks.bitmap_sizes(i.skyline, i.points, i.graph.coordinates, FANOUT)
 
 
+def vertex_cores(spark, d):
+    i = _loc_index(spark, d)
+    named = i.vertex_cores().select("v", F.array_join(F.transform("cores", lambda x: x.cast("string")), ",").alias("cores"))
+    return _sided(i.graph, named, "v")
+
+
+def axis_maxima(spark, d):
+    return _loc_index(spark, d).axis_maxima()
+
+
+def sweep_order(spark, d):
+    from pyspark.sql import Window
+
+    i = _loc_index(spark, d)
+    rank = F.row_number().over(Window.orderBy(*vectors.sweep_order(i.graph.coordinates))).cast("long")  # one row a distinct coordinate
+    return i.points.select("c0", "c1", rank.alias("place"), vectors.equal(["c0", "c1"], [2, 5]).alias("is_2_5"))
+
+
+def component_members_list(spark, d):
+    g = _dir(spark, d)
+    members = written(core_members(g, (8, 8)), "members")
+    found = connected_components(induced_links(g, members), members).withColumnRenamed("vertex", "v")
+    return component_members(found).select("component", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+
+
 # Maintenance
 
 
@@ -373,16 +416,42 @@ def ab_membership_changes(spark, d):
     return _sided(before.graph, maintain.membership_changes(before.members((2, 5)), after.members((2, 5))), "v")
 
 
+def update_size_sweep(spark, d):
+    """Vertices that leave the (2, 5)-core when 1, 4, 16, 64 of its edges go: independent what-if batches."""
+    index = _loc_index(spark, d)
+    sizes = (1, 4, 16, 64)
+    batches = written(workload.update_batches(index.graph, sizes), "batches")
+    after = maintain.what_if(index, [(None, batches.where(F.col("size") == n).drop("size")) for n in sizes])
+    out = None
+    for n, i in zip(sizes, after, strict=True):
+        row = maintain.membership_changes(index.members((2, 5)), i.members((2, 5))).groupBy("change").agg(F.count("*").alias("n")).select(F.lit(n).alias("size"), "change", "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def stream_replay_skyline(spark, d):
+    """Inserted edges and then deleted ones, as two files of a stream, applied to a stored index."""
+    home = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
+    _loc_index(spark, d).save(version_path(f"{home}/index", 0))
+    for k, (op, edges) in enumerate((("A", _adds(spark, d)), ("D", _deletes(spark, d)))):
+        edges.select(F.lit(op).alias("op"), "u", "v").coalesce(1).write.mode("append").parquet(f"{home}/changes")
+        stream = spark.readStream.schema("op string, u long, v long").parquet(f"{home}/changes")
+        replay(stream, f"{home}/index", f"{home}/state").awaitTermination()
+    last = CoreIndex.load(spark, version_path(f"{home}/index", 2))
+    return _sided(last.graph, last.skyline, "v")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        bip_edges, bip_degree_profile, bip_max_degrees, bip_is_edge, ml_edge_counts_rollup, dir_adjacency,
+        bip_edges, bip_degree_profile, bip_max_degrees, bip_is_edge, bip_sizes, ml_nodes, bip_text_source, ml_edge_counts_rollup, dir_adjacency,
         ab_core_members, ab_core_members_rounds, ab_core_empty, ab_core_components, ab_component_sizes_topk,
         kl_core_members, kl_core_zero_l, kl_core_zero_k, kl_core_components, ml_core_members, ml_core_zero_layer, ml_core_components,
         ab_skyline, ab_skyline_full, ab_frontier, ab_threshold_vectors, ab_vertex_skyline_count, kl_skyline, kl_frontier, ml_skyline, skyline_membership_array,
         ab_search_from_skyline, ab_forest_components, ab_dominating_cores, ab_row_query, ab_fixed_alpha_sweep, ab_fixed_beta_sweep,
         ab_batch_thresholds, ab_batch_components, random_thresholds_seeded, merged_pieces,
+        vertex_cores, axis_maxima, sweep_order, component_members_list,
         core_subgraphs, block_boxes, block_tags, block_enclosed_vs_partial, box_measures, box_orderings, box_count_visit, box_delete, box_union, index_stats, block_bitmap_sizes,
-        ab_after_insert, ab_after_delete, ab_after_both, ab_skyline_delta, ab_membership_changes,
+        ab_after_insert, ab_after_delete, ab_after_both, ab_skyline_delta, ab_membership_changes, update_size_sweep, stream_replay_skyline,
     )
 }
