@@ -14,14 +14,16 @@ def held_out(id_col: Column) -> Column:
 def smallest_hashes(keys: DataFrame, id_col: str, class_col: str, per_class: int | dict) -> DataFrame:
     """At most per_class rows of each class (a dict has a limit for each class, 0 for others), those with the smallest hash of the id.
 
-    Spark drops rows beyond the largest limit before the shuffle, so the task of a class reads that many rows from each task at most.
+    Classes must be few, for their counts come to the driver. They tell below which hash about one and a half times the wanted rows lie, so
+    only those are ranked and no class gathers in one task.
     """
-    most = max(per_class.values()) if isinstance(per_class, dict) else per_class
-    order = Window.partitionBy(class_col).orderBy(F.xxhash64(F.col(id_col)), F.col(id_col))
-    ranked = keys.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most)
-    if isinstance(per_class, dict):
-        limit = F.lit(0)
-        for name, n in per_class.items():
-            limit = F.when(F.col(class_col) == name, F.lit(n)).otherwise(limit)
-        ranked = ranked.where(F.col("_rank") <= limit)
-    return ranked.drop("_rank")
+    h = F.xxhash64(F.col(id_col))
+    near, wanted = F.lit(False), F.lit(0)
+    for r in keys.groupBy(class_col).count().collect():
+        limit = per_class.get(r[class_col], 0) if isinstance(per_class, dict) else per_class
+        share = min(1.0, (1.5 * limit + 1_000) / r["count"])
+        same = F.col(class_col).eqNullSafe(F.lit(r[class_col]))
+        near = near | (same & (h <= min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))))
+        wanted = F.when(same, F.lit(limit)).otherwise(wanted)
+    order = Window.partitionBy(class_col).orderBy(h, F.col(id_col))
+    return keys.where(near).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= wanted).drop("_rank")
