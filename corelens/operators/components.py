@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from corelens.session import discard, written
 
 #: Edges up to which one task labels a graph.
-ONE_TASK_EDGES = 2_000_000
+ONE_TASK_EDGES = 1_000_000
 
 
 class DisjointSets:
@@ -78,9 +78,14 @@ def _star_round(edges: DataFrame) -> DataFrame:
     return small.distinct()
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Fewer edges (a < b) with the same components: each task's edges as stars."""
+    return written(edges.mapInPandas(_forest, "a long, b long").distinct(), "cc")
+
+
 def _rounds(edges: DataFrame) -> DataFrame:
-    """(vertex, component) of every vertex of edges (a < b) that isn't its component's name."""
-    now, state, most = written(edges.mapInPandas(_forest, "a long, b long").distinct(), "cc"), None, None
+    """(vertex, component) of every vertex of contracted edges (a < b) that isn't its component's name."""
+    now, state, most = edges, None, None
     while True:
         # A fixed point is a set of stars: then no vertex is both a centre and a leaf, and each leaf has one centre.
         # decimal sums cannot wrap
@@ -105,9 +110,13 @@ def _whole_forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame([(low, x) for x in list(sets.parent) if (low := sets.find(x)) != x], columns=["a", "b"], dtype="int64")
 
 
-def linked_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(vertex, component) of every vertex that has a smaller one in its component; edges are read once."""
-    return _rounds(_canonical(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null")))
+def linked_components(edges: DataFrame, a: str = "a", b: str = "b", one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
+    """(vertex, component) of every vertex that has a smaller one in its component.
+
+    Edges are read once, contracted and counted; at most one_task_edges of them are labelled in one task, more in rounds.
+    """
+    contracted = _contracted(_canonical(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null")))
+    return _one_task(contracted) if contracted.count() <= one_task_edges else _rounds(contracted)
 
 
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None, a: str = "a", b: str = "b", engine: str = "auto") -> DataFrame:
@@ -122,7 +131,7 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, a:
     pairs = _canonical(narrow)
     if engine == "auto":
         engine = "one_task" if pairs.count() <= ONE_TASK_EDGES else "rounds"
-    linked = _one_task(pairs) if engine == "one_task" else _rounds(pairs)
+    linked = _one_task(pairs) if engine == "one_task" else _rounds(_contracted(pairs))
     if vertices is None:
         vertices = narrow.select(F.explode(F.array("a", "b")).alias("vertex"))
     named = vertices.select(F.col(vertices.columns[0]).cast("long").alias("vertex")).where("vertex is not null").distinct()

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from corelens.operators.components import DisjointSets, connected_components
+from corelens.operators.components import DisjointSets, connected_components, linked_components
 
 
 def _naive(edges, vertices):
@@ -43,3 +43,12 @@ def test_isolated_null_and_empty(spark, engine):
 def test_unknown_engine(spark):
     with pytest.raises(ValueError):
         connected_components(spark.createDataFrame([], "a long, b long"), engine="x")
+
+
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_linked(spark, limit):
+    rng = random.Random(9)
+    edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(70)] + [(None, 3)]
+    df = spark.createDataFrame(edges, "x long, y long").repartition(4)
+    want = {v: c for v, c in _naive(edges[:-1], {x for e in edges[:-1] for x in e}).items() if v != c}
+    assert {r.vertex: r.component for r in linked_components(df, "x", "y", limit).collect()} == want
