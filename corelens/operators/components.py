@@ -123,15 +123,16 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, a:
     """(vertex, component) for every vertex that an edge names or that `vertices` (its first column) lists.
 
     Self-loops count as isolated mentions; edges with a null end are dropped. engine: rounds, one_task, or auto, which
-    counts the edges first.
+    contracts and counts the edges first.
     """
     if engine not in ("auto", "rounds", "one_task"):
         raise ValueError(f"unknown engine {engine!r}")
     narrow = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null")
     pairs = _canonical(narrow)
     if engine == "auto":
-        engine = "one_task" if pairs.count() <= ONE_TASK_EDGES else "rounds"
-    linked = _one_task(pairs) if engine == "one_task" else _rounds(_contracted(pairs))
+        linked = linked_components(pairs)
+    else:
+        linked = _one_task(pairs) if engine == "one_task" else _rounds(_contracted(pairs))
     if vertices is None:
         vertices = narrow.select(F.explode(F.array("a", "b")).alias("vertex"))
     named = vertices.select(F.col(vertices.columns[0]).cast("long").alias("vertex")).where("vertex is not null").distinct()

@@ -2,7 +2,7 @@
 
 For a prefix (all coordinates but the last) cores shrink as the last coordinate grows, so one pass of a bucket peel gives each
 vertex its last value. Prefixes are independent rows of work: they are dealt to tasks, which hold the graph as
-arrays. That needs a graph below ARRAY_ARCS arcs, whose arrays then have a known size; above it `row_values` peels prefix by
+arrays. That needs a graph below ARRAY_EDGES edges, whose arrays then have a known size; above it `row_values` peels prefix by
 prefix with DataFrame rounds instead.
 """
 
@@ -16,18 +16,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corelens.operators.graphs import Graph
-from corelens.operators.peel import Arrays, _flat, arrays_from_flat, core_members
+from corelens.operators.peel import Arrays, arrays_from, core_members, flat, settled
 from corelens.session import written
 
-ARRAY_ARCS = 8_000_000
+#: Edges up to which a graph is held as arrays.
+ARRAY_EDGES = 4_000_000
 
 
-def _shared_arrays(graph: Graph):
+def shared_arrays(graph: Graph):
     """The graph's arrays, broadcast; None above the limit."""
-    flat = _flat(graph)
-    if flat.count() > ARRAY_ARCS:
+    graph = settled(graph)
+    if graph.edges.count() > ARRAY_EDGES:
         return None
-    return flat.sparkSession.sparkContext.broadcast(arrays_from_flat(iter([flat.toPandas()]), graph.dims))
+    rows = flat(graph).toArrow()
+    found = arrays_from(graph.kind, graph.dims, *(c.to_numpy() for c in rows.columns))
+    return graph.edges.sparkSession.sparkContext.broadcast(found)
 
 
 def _prefix_rows(spark, prefixes: list[tuple[int, ...]], width: int) -> DataFrame:
@@ -78,7 +81,8 @@ def row_values(graph: Graph, prefixes: list[tuple[int, ...]] | None = None, engi
     """
     if engine not in ("auto", "arrays", "rounds"):
         raise ValueError(f"unknown engine {engine!r}")
-    shared = None if engine == "rounds" else _shared_arrays(graph)
+    graph = settled(graph)
+    shared = None if engine == "rounds" else shared_arrays(graph)
     rows_of = (lambda p: _rows_for(graph, shared, p)) if shared is not None else (lambda p: _by_rounds(graph, p))
     width = graph.dims - 1
     if prefixes is not None:

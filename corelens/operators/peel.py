@@ -1,7 +1,7 @@
 """Core members: the largest vertex set in which every vertex meets a threshold vector.
 
 `rounds` drops violating vertices in DataFrame joins, round after round, with every round written to the shared folder.
-`one_task` does the same with a queue over arrays inside one task; `auto` takes it for graphs whose arc count is below a limit.
+`one_task` does the same with a queue over arrays inside one task; `auto` takes it for graphs whose edge count is below a limit.
 """
 
 from __future__ import annotations
@@ -9,14 +9,15 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corelens.operators.graphs import Graph
+from corelens.operators.graphs import RIGHT, Graph
 from corelens.session import discard, written
 
-ONE_TASK_ARCS = 4_000_000
+#: Edges up to which one task peels a graph.
+ONE_TASK_EDGES = 2_000_000
 
 
 def thresholds(graph: Graph, t: Sequence[int]) -> tuple[int, ...]:
@@ -84,30 +85,51 @@ class Arrays:
         return last
 
 
-def arrays_of(vertices: pd.DataFrame, arcs: pd.DataFrame, dims: int) -> Arrays:
-    return Arrays(vertices["v"].to_numpy(), vertices["dims"].to_numpy(), arcs["dim"].to_numpy(), arcs["v"].to_numpy(), arcs["nbr"].to_numpy(), dims)
-
-
-def _flat(graph: Graph) -> DataFrame:
-    """Arcs and vertices (dim -1, with their bits in nbr) in one table, for one task to read."""
-    return graph.arcs().select("dim", "v", "nbr").unionByName(graph.vertices().select(F.lit(-1).alias("dim"), "v", F.col("dims").cast("long").alias("nbr")))
-
-
-def arrays_from_flat(batches: Iterator[pd.DataFrame], dims: int) -> Arrays:
-    rows = pd.concat([pd.DataFrame({"dim": pd.Series(dtype="int32"), "v": pd.Series(dtype="int64"), "nbr": pd.Series(dtype="int64")}), *batches])
-    point = rows["dim"] < 0
-    vertices = rows[point].rename(columns={"nbr": "dims"})
-    return arrays_of(vertices, rows[~point], dims)
+def settled(graph: Graph) -> Graph:
+    """The graph with its edges in a written table, so that they are made once and counted from metadata."""
+    if getattr(graph.edges, "written_path", None):
+        return graph
+    return Graph(graph.kind, written(graph.edges, "edges"), graph.extra, graph.dims, graph.layers)
+
+
+def flat(graph: Graph) -> DataFrame:
+    """(dim, a, b): a row for each edge in engine numbers, and with dim -1 for each extra vertex."""
+    if graph.kind == "multilayer":
+        rows = graph.edges.select("dim", "a", "b")
+    else:
+        ends = ("src", F.col("dst")) if graph.kind == "directed" else ("u", F.col("v") + F.lit(RIGHT))
+        rows = graph.edges.select(F.lit(0).alias("dim"), F.col(ends[0]).alias("a"), ends[1].alias("b"))
+    if graph.extra is None:
+        return rows
+    v = F.col(graph.extra.columns[0]).cast("long")
+    return rows.unionByName(graph.extra.where(v.isNotNull()).select(F.lit(-1).alias("dim"), v.alias("a"), v.alias("b")))
+
+
+def arrays_from(kind: str, dims: int, dim: np.ndarray, a: np.ndarray, b: np.ndarray) -> Arrays:
+    """Arrays of the rows of flat()."""
+    ids = np.unique(np.concatenate([a, b])).astype(np.int64)
+    edge = dim >= 0
+    dim, a, b = dim[edge], a[edge], b[edge]
+    if kind == "directed":  # a -> b: a counts for b's in-degree, b for a's out-degree
+        parts = (np.zeros(len(a), np.int64), b, a), (np.ones(len(a), np.int64), a, b)
+    elif kind == "bipartite":
+        parts = (np.zeros(len(a), np.int64), a, b), (np.ones(len(a), np.int64), b, a)
+    else:
+        parts = (dim, a, b), (dim, b, a)
+    bits = np.where(ids >= RIGHT // 2, 2, 1) if kind == "bipartite" else np.full(len(ids), (1 << dims) - 1)
+    return Arrays(ids, bits, *(np.concatenate(x) for x in zip(*parts, strict=True)), dims)
 
 
 def _one_task(graph: Graph, t: tuple[int, ...]) -> DataFrame:
-    dims = graph.dims
+    kind, dims = graph.kind, graph.dims
 
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = arrays_from_flat(batches, dims)
-        yield pd.DataFrame({"v": found.ids[found.core(t)].astype("int64")})
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches]
+        columns = [np.concatenate(x) for x in zip(*rows, strict=True)] if rows else [np.empty(0, np.int64)] * 3
+        found = arrays_from(kind, dims, *columns)
+        yield pa.RecordBatch.from_arrays([pa.array(found.ids[found.core(t)], pa.int64())], names=["v"])
 
-    return _flat(graph).coalesce(1).mapInPandas(members, "v long")
+    return flat(graph).coalesce(1).mapInArrow(members, "v long")
 
 
 def _rounds(graph: Graph, t: tuple[int, ...]) -> DataFrame:
@@ -135,7 +157,8 @@ def core_members(graph: Graph, t: Sequence[int], engine: str = "auto") -> DataFr
     """(v) of the core of t, in engine numbers; a threshold above all cores gives no rows."""
     t = thresholds(graph, t)
     if engine == "auto":
-        engine = "one_task" if graph.arcs().count() <= ONE_TASK_ARCS else "rounds"
+        graph = settled(graph)
+        engine = "one_task" if graph.edges.count() <= ONE_TASK_EDGES else "rounds"
     if engine not in ("one_task", "rounds"):
         raise ValueError(f"unknown engine {engine!r}")
     return _one_task(graph, t) if engine == "one_task" else _rounds(graph, t)

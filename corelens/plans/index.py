@@ -20,7 +20,7 @@ from corelens.functions import boxes
 from corelens.operators import decompose
 from corelens.operators.components import ONE_TASK_EDGES, DisjointSets, connected_components
 from corelens.operators.graphs import Graph
-from corelens.operators.peel import induced_links, thresholds
+from corelens.operators.peel import induced_links, settled, thresholds
 from corelens.plans import blocks as block_plans
 from corelens.session import written
 
@@ -30,7 +30,7 @@ BROADCAST_QUERIES = 50_000
 
 def forests(graph: Graph, prefixes: list[tuple[int, ...]]) -> DataFrame:
     """(c0, ..., a, b, w): a maximum spanning forest of every prefix; the graph must fit into arrays (see decompose)."""
-    shared = decompose._shared_arrays(graph)
+    shared = decompose.shared_arrays(graph)
     if shared is None:
         raise ValueError("the graph is too large for forests; search on the graph's links instead")
     width, base = graph.dims - 1, graph.base
@@ -68,6 +68,7 @@ class CoreIndex:
 
     @classmethod
     def build(cls, graph: Graph, forest: bool = False, fanout: int = block_plans.FANOUT) -> CoreIndex:
+        graph = settled(graph)
         return cls.from_rows(graph, decompose.row_values(graph), forest, fanout)
 
     @classmethod
