@@ -31,8 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Rows of a file of an intermediate table whose size is known beforehand.
-ROWS_PER_FILE = 50_000
+#: For intermediate tables whose size is known beforehand: rows up to which one task writes them, and rows of a file of larger ones.
+ONE_FILE_ROWS, ROWS_PER_FILE = 50_000, 200_000
 
 
 def written(df: DataFrame, label: str = "t", most_rows: int | None = None) -> DataFrame:
@@ -42,7 +42,7 @@ def written(df: DataFrame, label: str = "t", most_rows: int | None = None) -> Da
     """
     spark = df.sparkSession
     if most_rows is not None:
-        df = df.coalesce(max(1, -(-most_rows // ROWS_PER_FILE)))
+        df = df.coalesce(1) if most_rows <= ONE_FILE_ROWS else few_files(df, most_rows, ROWS_PER_FILE)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
