@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corelens.session import bounded_batches, written
+from corelens.session import bounded_batches, discard, written
 
 LENGTH, TRIGGER, REACH = 400, 16, 256
 CORE = LENGTH - REACH + 1
@@ -245,11 +245,12 @@ def repeated_spans(docs: DataFrame, core_limit: int = CORE_LIMIT) -> DataFrame:
     keyed = _keyed(docs)
     parsed = written(_parsed(keyed), "parse")
     whole = ["doc_id", "h", "lo", "hi"]
-    inside = parsed.where("c is null").select(*whole)
     entries = parsed.where("c is not null")
     cores = entries.groupBy("c").agg(F.sum("n").alias("total"), F.min("u").alias("u0"), F.max("u").alias("u1")).where("total > 1").select("c", (F.col("u0") != F.col("u1")).alias("mixed"))
-    most = parsed.count()
-    repeated = written(entries.join(cores, "c"), "repeated", most)
+    settled = parsed.where("c is null").withColumn("mixed", F.lit(False))
+    repeated = written(entries.join(cores, "c").unionByName(settled), "repeated", parsed.count())
+    discard(parsed)
+    most = repeated.count()
     alike = repeated.where("not mixed").select(*whole)
     mixed = repeated.where("mixed").drop("mixed")
     phrases = written(mixed.groupBy("c", "u").agg(F.sum("n").alias("total"), F.min(F.struct("doc_id", "h", "lo", "hi", "off")).alias("at")), "phrases", most)
@@ -258,7 +259,7 @@ def repeated_spans(docs: DataFrame, core_limit: int = CORE_LIMIT) -> DataFrame:
     open_cores = sizes.select("c", (F.col("different") > core_limit).alias("crowded"))
     wanted = phrases.join(open_cores, "c").select("c", "at.*", (F.col("total") > 1).alias("settled"), "crowded")
     pieces = _cut_out(keyed, wanted)
-    found = inside.unionByName(alike).unionByName(again)
+    found = alike.unionByName(again)
     if (sizes.agg(F.max("different")).first()[0] or 0) > core_limit:
         pieces = written(pieces, "pieces")
         windows = pieces.where("c is null").dropDuplicates(["window", "doc_id", "h", "t"])
