@@ -36,6 +36,9 @@ SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Rows of a prefix that the first split aims at, rows beyond which a prefix is split again, and by how many bits.
 GROUP, GROUP_LIMIT, MORE_BITS = 20_000, 60_000, 6
 
+#: Links, counted after contraction, up to which one task labels the components; more are labelled in rounds of joins.
+ONE_TASK_LINKS = 500_000
+
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ONE = np.uint64(1)
 
@@ -190,7 +193,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     """doc_id, h, fp and component_id of every row."""
     prints = written(fingerprints(docs), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct", prints.count())
-    linked = linked_components(fingerprint_links(distinct.where("rep is not null")))
+    linked = linked_components(fingerprint_links(distinct.where("rep is not null")), one_task_edges=ONE_TASK_LINKS)
     names = distinct.join(linked.select(F.col("vertex").alias("rep"), "component"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(names, "fp", "left")
 
