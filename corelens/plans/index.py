@@ -132,12 +132,24 @@ class CoreIndex:
             links = induced_links(self.graph, members)
         return connected_components(links, members, engine=engine).withColumnRenamed("vertex", "v")
 
-    def batch_members(self, queries: DataFrame) -> DataFrame:
-        """(qid, v) for all queries (qid, c0, ...) at once: a range join."""
+    def _asked(self, queries: DataFrame) -> tuple[DataFrame, str]:
+        """The queries with their coordinates as _c0, ..., and the condition under which a row of `rows` answers one: a row has a vertex once for each prefix."""
         g = self.graph
         q = queries.select("qid", *[F.greatest(F.col(c), F.lit(g.base)).alias(f"_{c}") for c in g.coordinates])
         side = F.broadcast(q) if q.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else q
-        return self.skyline.join(side, F.expr(" and ".join(f"{c} >= _{c}" for c in g.coordinates))).select("qid", "v").distinct()
+        return side, " and ".join([*(f"{c} = _{c}" for c in g.prefix_columns), f"last >= _{g.coordinates[-1]}"])
+
+    def batch_members(self, queries: DataFrame) -> DataFrame:
+        """(qid, v) for all queries (qid, c0, ...) at once: a join on the prefix and a range of the last coordinate."""
+        side, same = self._asked(queries)
+        return self.rows.join(side, F.expr(same)).select("qid", "v")
+
+    def batch_sizes(self, queries: DataFrame) -> DataFrame:
+        """(qid, c0, ..., size) of every query, 0 where the core is empty: the join runs over counts by prefix and last value."""
+        side, same = self._asked(queries)
+        counts = self.rows.groupBy(*self.graph.prefix_columns, "last").agg(F.count("*").alias("n"))
+        sizes = counts.join(side, F.expr(same)).groupBy("qid").agg(F.sum("n").alias("size"))
+        return queries.join(sizes, "qid", "left").withColumn("size", F.coalesce("size", F.lit(0)).cast("long"))
 
     def batch_components(self, queries: DataFrame) -> DataFrame:
         """(qid, v, component) for all queries at once. A query's answer is labelled in one task while the whole graph is small enough, else query by query."""

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from corelens.operators.graphs import Graph
 from corelens.plans.blocks import numbered
-from corelens.plans.index import CoreIndex
 
 
 def sweep(spark: SparkSession, fixed: Sequence[int | None], values: Sequence[int]) -> DataFrame:
@@ -31,12 +30,6 @@ def random_thresholds(vectors: DataFrame, graph: Graph, n: int, seed: int = 0) -
     return draws.join(ordered, "k").select("qid", *graph.coordinates)
 
 
-def batch_sizes(index: CoreIndex, queries: DataFrame) -> DataFrame:
-    """(qid, c0, ..., size) of every query, 0 where the core is empty."""
-    sizes = index.batch_members(queries).groupBy("qid").agg(F.count("*").alias("size"))
-    return queries.join(sizes, "qid", "left").withColumn("size", F.coalesce("size", F.lit(0)).cast("long"))
-
-
 def update_batches(graph: Graph, sizes: Sequence[int] = (1, 4, 16, 64, 256, 1024), seed: int = 0) -> DataFrame:
     """(size, edge columns): for each size so many of the graph's edges, the same for the same seed."""
     edges = graph.edges

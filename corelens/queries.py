@@ -259,12 +259,12 @@ def ab_row_query(spark, d):
 
 def ab_fixed_alpha_sweep(spark, d):
     i = _loc_index(spark, d)
-    return workload.batch_sizes(i, workload.sweep(spark, (2, None), range(1, 31)))
+    return i.batch_sizes(workload.sweep(spark, (2, None), range(1, 31)))
 
 
 def ab_fixed_beta_sweep(spark, d):
     i = _loc_index(spark, d)
-    return workload.batch_sizes(i, workload.sweep(spark, (None, 5), range(1, 9)))
+    return i.batch_sizes(workload.sweep(spark, (None, 5), range(1, 9)))
 
 
 def _some_thresholds(spark):
@@ -284,7 +284,7 @@ def ab_batch_components(spark, d):
 def random_thresholds_seeded(spark, d):
     i = _loc_index(spark, d)
     valid = decompose.threshold_vectors(decompose.frontier(i.skyline, i.graph), i.graph)
-    return workload.batch_sizes(i, workload.random_thresholds(valid, i.graph, 10_000, 7))
+    return i.batch_sizes(workload.random_thresholds(valid, i.graph, 10_000, 7))
 
 
 def merged_pieces(spark, d):

@@ -159,7 +159,7 @@ def test_workload(spark):
     vectors = decompose.threshold_vectors(decompose.frontier(index.skyline, index.graph), index.graph)
     once = sorted(workload.random_thresholds(vectors, index.graph, 50, 3).collect())
     assert once == sorted(workload.random_thresholds(vectors, index.graph, 50, 3).collect()) and len(once) == 50
-    sizes = {r.c1: r["size"] for r in workload.batch_sizes(index, workload.sweep(spark, (1, None), [0, 1, 99])).collect()}
+    sizes = {r.c1: r["size"] for r in index.batch_sizes(workload.sweep(spark, (1, None), [0, 1, 99])).collect()}
     assert sizes[99] == 0 and sizes[0] >= sizes[1]
     assert workload.timed("x", lambda: index.members((1, 1)))["rows"] == index.members((1, 1)).count()
     links = induced_links(index.graph, index.members((1, 1)))
