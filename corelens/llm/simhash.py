@@ -43,20 +43,23 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ONE = np.uint64(1)
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """Fingerprint of a UTF-8 text: bit b is set if more than half of its shingles' XXH64 values have it set."""
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 of every run of so many words of a UTF-8 text, of all its words if they are fewer; none without words."""
     words = (text or b"").translate(_LOWER).split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
+        hashes = [xxhash.xxh64_intdigest(joined, SEED)] if words else []
     else:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate([[0], ends[:-1] + 1])
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
-    values = np.array(hashes, "<u8")
+    return np.array(hashes, "<u8")
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """Fingerprint of a UTF-8 text: bit b is set if more than half of its shingles' XXH64 values have it set."""
+    values = shingle_hashes(text, shingle)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(values), 4096):
         part = values[at : at + 4096].view(np.uint8).reshape(-1, 8)
@@ -201,15 +204,3 @@ def _grouped(docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id (the smallest doc_id reachable over links) of every row."""
     return _grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def representatives(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id; same columns. Of rows without an id, which no
-    component can be named after, one of each text stays if none in its component has an id."""
-    grouped = _grouped(docs)
-    kept = grouped.where("doc_id = component_id").groupBy("doc_id").agg(F.min("h").alias("_h")).withColumnRenamed("doc_id", "_id")
-    nameless = grouped.where("component_id is null").select(F.col("h").alias("_h")).distinct()
-    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_h": F.xxhash64("text")})
-    named = keyed.where("_id is not null").join(kept, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"])
-    others = keyed.where("_id is null").join(nameless, "_h", "left_semi").dropDuplicates(["_h"])
-    return named.unionByName(others).select(*docs.columns)

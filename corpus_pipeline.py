@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corelens.llm import mixing, packing, simhash, suffix_dedup, toxicity
+from corelens.llm import mixing, near_copies, packing, suffix_dedup, toxicity
 from corelens.session import few_files, table, written
 
 #: Documents of a file that a stage writes, at least.
@@ -31,8 +31,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return _filed(simhash.representatives(docs), docs)
+    """One document of each group of near copies: five-word shingles, Jaccard similarity of 0.8 or more."""
+    return _filed(near_copies.representatives(docs), docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
