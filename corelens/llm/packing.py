@@ -2,7 +2,7 @@
 
 Documents are dealt by a hash into partitions and, in hashed order, into shards of at most SHARD_DOCS documents and
 SHARD_CHARS characters. A shard has an inverted index with BM25 weights. The first unused document seeds a window of WINDOW tokens; its best unused
-neighbours (BM25 with the seed's QUERY_TERMS rarest shared words as query) follow until the window is full. The document at which a window ends is cut there, goes on in the next window
+neighbours (BM25 with all of the seed's words as query) follow until the window is full. The document at which a window ends is cut there, goes on in the next window
 and is the seed of that one. Where no unused document shares a word, the next unused one follows.
 
 Every window but a partition's last is full. The tail of a partition is cut into sequences of powers of two, which
@@ -31,7 +31,7 @@ from corelens.session import bounded_batches
 
 WINDOW, END = 1024, 0
 SHARD_DOCS, SHARD_CHARS = 1024, 16_000_000
-QUERY_TERMS, K1, B = 12, 1.2, 0.75
+K1, B = 1.2, 0.75
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, seed_doc_id long"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -72,21 +72,20 @@ class ShardIndex:
         norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if n else 1.0))
         self.first, self.df, self.docs = first, df, docs
         self.weight = idf[term_of] * tf * (K1 + 1) / (tf + norm[docs])
-        # Per document, its words that other documents share, rarest first.
+        # Per document, its words that other documents share.
         shared = np.flatnonzero(df[term_of] > 1)  # a word of one document finds none
-        key = (docs[shared] << 40) | (df[term_of[shared]] << 24) | (shared & 0xFFFFFF)
-        by_doc = shared[np.argsort(key)]
+        by_doc = shared[np.argsort(docs[shared], kind="stable")]
         self.terms = term_of[by_doc]
         self.bounds = np.searchsorted(docs[by_doc], np.arange(n + 1))
         self.n = n
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 of every document against the seed's rarest shared words."""
-        out = np.zeros(self.n)
-        for term in self.terms[self.bounds[seed] : self.bounds[seed + 1]][:QUERY_TERMS]:
-            span = slice(self.first[term], self.first[term] + self.df[term])
-            out[self.docs[span]] += self.weight[span]
-        return out
+        """BM25 of every document against all of the seed's shared words."""
+        terms = self.terms[self.bounds[seed] : self.bounds[seed + 1]]
+        sizes = self.df[terms]
+        ends = np.cumsum(sizes)
+        spans = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[terms] - ends + sizes, sizes)  # postings of all terms
+        return np.bincount(self.docs[spans], self.weight[spans], self.n)
 
 
 def reading_order(texts: list[bytes], sizes: list[int], filled: int, window: int = WINDOW) -> list[tuple[int, int]]:

@@ -89,3 +89,18 @@ def test_scores_are_bm25():
             tf = ws.count(term)
             want[k] += idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / mean)) if tf else 0
     assert np.allclose(index.scores(0), want)
+
+
+def test_long_texts_are_scored_by_all_words():
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(600)]
+    words = [rng.choices(vocabulary, k=rng.randint(200, 600)) for _ in range(30)] + [["alone"], []]
+    index = packing.ShardIndex([" ".join(ws).encode() for ws in words])
+    counts, n = [collections.Counter(ws) for ws in words], len(words)
+    mean = sum(map(len, words)) / n
+    df = collections.Counter(w for c in counts for w in c)
+    for seed in range(n):
+        shared = [w for w in counts[seed] if df[w] > 1]
+        assert len(shared) > 100 or seed >= 30
+        want = [sum(np.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * len(ws) / mean)) for w in shared) for ws, c in zip(words, counts)]
+        assert np.allclose(index.scores(seed), want)
