@@ -196,8 +196,10 @@ def _grouped(docs: DataFrame) -> DataFrame:
     """doc_id, h, fp and component_id of every row."""
     prints = written(fingerprints(docs), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct", prints.count())
-    linked = linked_components(fingerprint_links(distinct.where("rep is not null")), one_task_edges=ONE_TASK_LINKS)
-    names = distinct.join(linked.select(F.col("vertex").alias("rep"), "component"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    linked = linked_components(fingerprint_links(distinct.select("fp", F.col("fp").alias("rep"))), one_task_edges=ONE_TASK_LINKS)
+    rooted = distinct.join(linked.select(F.col("vertex").alias("fp"), "component"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
+    rooted = written(rooted, "rooted")
+    names = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(names, "fp", "left")
 
 

@@ -65,3 +65,17 @@ def test_documents_edge_cases(spark):
     got = sorted([(r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()], key=repr)
     assert got == sorted([(9, 4), (4, 4), (4, 4), (7, 3), (3, 3), (None, 3), (5, 5), (None, None)], key=repr)
     assert simhash.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_a_row_without_id_bridges(spark):
+    rng = random.Random(8)
+    bits = lambda x, y: (simhash.fingerprint(x.encode()) ^ simhash.fingerprint(y.encode())).bit_count()
+    changed = lambda text: " ".join(rng.choice("uvwxyz") * 3 if k == at else w for at in [rng.randrange(300)] for k, w in enumerate(text.split()))
+    while True:
+        a = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(300))
+        b = changed(a)
+        c = changed(b)
+        if bits(a, b) <= 3 and bits(b, c) <= 3 < bits(a, c):
+            break
+    docs = spark.createDataFrame([(1, a), (None, b), (2, c)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == {1: 1, None: 1, 2: 1}
