@@ -1,30 +1,31 @@
-"""Suffix-array dedup by prefix-free parsing: every byte under a string of LENGTH bytes that also starts elsewhere goes.
-
-1. Parsing. A rolling hash of TRIGGER bytes runs over each text. Of the REACH hashes that begin in a window's first REACH bytes, the smallest
-   (the rightmost of equals) is the window's trigger; triggers cut the text into phrases. Equal windows have equal
-   triggers at equal offsets, and no window is without one. All windows of one trigger share the core of LENGTH - REACH + 1
-   bytes that follows it, so the trigger with its windows is one entry of the parse.
-2. Dictionary. Equal entries are one phrase of the dictionary. A core that occurs once in the corpus can't be in a repeated window: its
-   entries are settled as unique. A phrase that occurs twice is settled as repeated in all its windows. What remains are
-   cores with different phrases around them, the edges of repeats.
-3. Suffix arrays. For these, the phrases of a core are ordered by the text after the trigger (the order of the parse) and by the
-   reversed text before it (the order of the dictionary's phrase suffixes), with the common lengths of neighbours. A window that begins l bytes before its trigger equals
-   another if both are in one class of common suffix >= l and one class of common prefix >= LENGTH - l: the corpus order of
-   the window's suffixes is the product of the two orders, and its classes are counted for each l.
-
-Step 2 counts by key with Spark's partial aggregation and joins the counts back (adaptive execution splits a core of very many
-entries). Step 3 sees each different phrase of a core once; a core with more than CORE_LIMIT phrases isn't sorted in one task: its windows are counted by
-128-bit hashes instead, with partial aggregation again. Entries are compared by 128 bits of hash in step 2 and byte by byte in step 3. Texts are shuffled
-twice, to cut out the phrases of step 3 and to remove what was found.
-
-Defined cases: a null text is empty; a text shorter than LENGTH keeps all its bytes; equal rows are separate documents,
-so from LENGTH bytes on they remove each other whole; a null doc_id is kept; an empty table gives an empty table; further columns are ignored.
+"""Suffix-array dedup by prefix-free parsing: every byte under a string of `length` bytes that also starts elsewhere goes.
+
+1. Cores. A rolling hash of TRIGGER bytes runs over each text. Of the `reach` hashes that begin in a window's first `reach` bytes, the smallest
+   (the rightmost of equals) is the window's anchor. Equal windows have equal anchors at equal offsets, and no window is without one. All windows
+   of one anchor share the core of length - reach + 1 bytes that follows it, so the anchor with its windows is one entry.
+2. Counts. A core that occurs once in the corpus can't be in a repeated window: its entries are settled as unique. An entry that occurs twice
+   with all the bytes of its windows is settled as repeated. What remains are cores with different bytes around them, the edges of repeats; each different entry is
+   one piece of text from its first window's start to its last window's end.
+3. Prefix-free parsing of the pieces (`repeated_windows`). Rolling-hash triggers of a fixed residue cut them into phrases that overlap by a trigger, so no phrase suffix is
+   a prefix of another. The distinct phrases in sorted order are the dictionary; the pieces as numbers of phrases are the parse. The suffix array of the dictionary orders what
+   is left of a window's first phrase, the suffix array of the parse orders what follows it, and both together give the windows' corpus order, in which
+   equal windows are neighbours. Neighbours are compared byte by byte.
+
+Pieces are dealt by core, for equal windows share one. A core with more than CORE_LIMIT pieces is split (`_split`): its windows are halved by their
+distance from the anchor, and each half is dealt by the longer string that all of its windows hold; halves that agree in all bytes are settled by
+counting. Half by half that ends, at the latest with one window a piece, whose string is the whole window. So no task gets more than CORE_LIMIT pieces of one key.
+
+Steps 1 and 2 tell strings apart by 128 bits of hash. Texts are shuffled twice, to cut out the pieces and to remove what was found.
+
+Defined cases: a null text is empty; a text shorter than `length` keeps all its bytes; equal rows are separate documents,
+so from `length` bytes on they remove each other whole; a null doc_id is kept; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +35,11 @@ from pyspark.sql import functions as F
 
 from corelens.session import bounded_batches, discard, written
 
-LENGTH, TRIGGER, REACH = 400, 16, 256
-CORE = LENGTH - REACH + 1
-#: Different phrases of one core that a task sorts, and phrases that it sorts at a time.
-CORE_LIMIT, BATCH = 20_000, 20_000
+LENGTH, TRIGGER = 400, 16
+#: Mean bytes of a phrase.
+PHRASE = 64
+#: Pieces of one key that a task sorts, and pieces that it sorts at a time.
+CORE_LIMIT, BATCH = 4_000, 4_000
 #: Positions hashed at a time, so that the arrays stay in a core's cache.
 _PIECE = 1 << 15
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
@@ -46,42 +48,62 @@ _PARSED = "c long, u long, doc_id long, h long, lo int, hi int, off int, n int"
 _FOUND = "doc_id long, h long, lo int, hi int"
 
 
-def _triggers(data: np.ndarray) -> np.ndarray:
-    """For each position a with LENGTH bytes after it, the trigger of the window that starts at a."""
-    n = len(data) - LENGTH + 1
+@dataclass(frozen=True)
+class Shape:
+    """length: bytes of a string that counts as repeated, 64 or more; reach: first bytes of a window in which its anchor begins."""
+
+    length: int = LENGTH
+
+    @property
+    def reach(self) -> int:
+        return 1 << (self.length * 2 // 3).bit_length() - 1
+
+    @property
+    def core(self) -> int:
+        return self.length - self.reach + 1
+
+
+def _rolling(data: np.ndarray) -> np.ndarray:
+    """Hash of the TRIGGER bytes from each position on."""
+    h = data.astype(np.uint64) + np.uint64(1)
+    width, factor = 1, _BASE
+    while width < TRIGGER:
+        h = h[:-width] * np.uint64(factor) + h[width:]
+        width, factor = width * 2, factor * factor % (1 << 64)
+    h ^= h >> np.uint64(29)
+    return h * _MIX
+
+
+def _anchors(data: np.ndarray, shape: Shape) -> np.ndarray:
+    """For each position a with length bytes after it, the anchor of the window that starts at a."""
+    n, reach = len(data) - shape.length + 1, shape.reach
     out = np.empty(max(0, n), np.int64)
     for at in range(0, n, _PIECE):
         some = min(_PIECE, n - at)
-        h = data[at : at + some + REACH - 1 + TRIGGER - 1].astype(np.uint64) + np.uint64(1)
-        width, factor = 1, _BASE
-        while width < TRIGGER:
-            h = h[:-width] * np.uint64(factor) + h[width:]
-            width, factor = width * 2, factor * factor % (1 << 64)
-        h ^= h >> np.uint64(29)
-        h *= _MIX
+        h = _rolling(data[at : at + some + reach - 1 + TRIGGER - 1])
         # smallest hash first, then the largest position
         key = (h & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - np.arange(len(h), dtype=np.uint64))
         width = 1
-        while width < REACH:
+        while width < reach:
             key = np.minimum(key[:-width], key[width:])
             width *= 2
         out[at : at + some] = at + (np.uint64(0xFFFFFFFF) - (key & np.uint64(0xFFFFFFFF))).astype(np.int64)
     return out
 
 
-def parse(texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
-    """Entries (first window, last window, trigger) of each text."""
+def parse(texts: list[bytes], shape: Shape = Shape()) -> list[list[tuple[int, int, int]]]:
+    """Entries (first window, last window, anchor) of each text."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     buffer = np.frombuffer(b"".join(texts), np.uint8)
-    if len(buffer) < LENGTH:
+    if len(buffer) < shape.length:
         return out
-    trigger = _triggers(buffer)
+    anchor = _anchors(buffer, shape)
     ends = np.cumsum([len(t) for t in texts])
     for k, (end, text) in enumerate(zip(ends.tolist(), texts, strict=True)):
-        begin, n = end - len(text), len(text) - LENGTH + 1
+        begin, n = end - len(text), len(text) - shape.length + 1
         if n <= 0:
             continue
-        own = trigger[begin : begin + n]
+        own = anchor[begin : begin + n]
         cuts = np.flatnonzero(own[1:] != own[:-1]) + 1
         los = [0, *cuts.tolist()]
         out[k] = list(zip(los, [*(x - 1 for x in los[1:]), n - 1], (own[los] - begin).tolist(), strict=True))
@@ -92,7 +114,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _entries(doc, h, text: bytes, cuts: list[tuple[int, int, int]]) -> Iterator[tuple]:
+def _entries(doc, h, text: bytes, cuts: list[tuple[int, int, int]], shape: Shape = Shape()) -> Iterator[tuple]:
     """Rows of _PARSED. In periodic texts, entries that are equal inside the document are settled here (c null) and only one of them goes on."""
     digest = xxhash.xxh3_64_intdigest
     dense = len(cuts) * 16 > len(text)
@@ -100,7 +122,7 @@ def _entries(doc, h, text: bytes, cuts: list[tuple[int, int, int]]) -> Iterator[
     rows: list[tuple] = []
     repeats: list[tuple[int, int]] = []
     for lo, hi, t in cuts:
-        c, u = digest(text[t : t + CORE]), digest(text[lo : hi + LENGTH], t - lo)
+        c, u = digest(text[t : t + shape.core]), digest(text[lo : hi + shape.length], t - lo)
         if dense:
             first = seen.setdefault((c, u), len(rows))
             if first < len(rows):
@@ -126,105 +148,180 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
 
 
-def _parsed(keyed: DataFrame) -> DataFrame:
+def _parsed(keyed: DataFrame, shape: Shape) -> DataFrame:
     names = [x.split()[0] for x in _PARSED.split(", ")]
     kinds = [pa.int64()] * 4 + [pa.int32()] * 4
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hashes, texts = (c.to_pylist() for c in batch.columns)
-            rows = [r for doc, h, text, cuts in zip(ids, hashes, texts, parse(texts), strict=True) for r in _entries(doc, h, text, cuts)]
+            rows = [r for doc, h, text, cuts in zip(ids, hashes, texts, parse(texts, shape), strict=True) for r in _entries(doc, h, text, cuts, shape)]
             yield _batch(rows, kinds, names)
 
-    return keyed.where(F.octet_length("text") >= LENGTH).mapInArrow(cut, _PARSED)
-
-
-def _classes(padded: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the rows by (core, bytes), and the common length of each with the one before (-1 across cores)."""
-    width = padded.shape[1]
-    order = np.argsort(np.ascontiguousarray(padded).view(f"S{width}").ravel(), kind="stable")
-    order = order[np.argsort(core[order], kind="stable")]
-    common = np.full(len(order), -1, np.int64)
-    for at in range(1, len(order), 4096):
-        a, b = order[at - 1 : at + 4095][: len(order[at : at + 4096])], order[at : at + 4096]
-        differ = padded[a] != padded[b]
-        length = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
-        common[at : at + 4096] = np.where(core[a] == core[b], length, -1)
-    return order, common
-
-
-def repeated_windows(core: np.ndarray, left: list[bytes], right: list[bytes]) -> np.ndarray:
-    """For different phrases of cores: a row per phrase, and per l whether its window from l bytes before the trigger occurs in another."""
-    n = len(core)
-    before, after = np.zeros((n, REACH), np.uint8), np.zeros((n, LENGTH), np.uint8)
-    for k, (a, b) in enumerate(zip(left, right, strict=True)):
-        before[k, : len(a)] = np.frombuffer(a, np.uint8)[::-1]
-        after[k, : len(b)] = np.frombuffer(b, np.uint8)
-    most = np.array([len(a) for a in left])
-    least = LENGTH - np.array([len(b) for b in right])
-    l_order, l_common = _classes(before, core)
-    r_order, r_common = _classes(after, core)
-    out = np.zeros((n, REACH), bool)
-    l_class, r_class = np.empty(n, np.int64), np.empty(n, np.int64)
-    for l in range(int(least.min(initial=0)), int(most.max(initial=-1)) + 1):
-        here = np.flatnonzero((least <= l) & (l <= most))
-        if len(here) < 2:
-            continue
-        l_class[l_order] = np.cumsum(l_common < l)
-        r_class[r_order] = np.cumsum(r_common < LENGTH - l)
-        both = l_class[here] * (n + 1) + r_class[here]
-        order = np.argsort(both)
-        same = both[order[1:]] == both[order[:-1]]
-        out[here[order[1:][same]], l] = True
-        out[here[order[:-1][same]], l] = True
-    return out
+    return keyed.where(F.octet_length("text") >= shape.length).mapInArrow(cut, _PARSED)
+
 
+def _doubled(rank: np.ndarray, room: np.ndarray, width: int) -> np.ndarray:
+    """Ranks (from 1) of all suffixes by prefix doubling, from ranks of their first `width` units; room: units up to the end of the suffix's string."""
+    classes = int(rank.max(initial=0))
+    while width < room.max(initial=0):
+        far = np.zeros(len(rank), np.int64)
+        on = np.flatnonzero(room > width)
+        far[on] = rank[on + width]
+        distinct, finer = np.unique(rank << 32 | far, return_inverse=True)
+        if len(distinct) == classes:
+            break
+        rank, classes, width = finer + 1, len(distinct), 2 * width
+    return rank
 
-def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    """Runs (first, last) of True."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
-    return [(int(a), int(b) - 1) for a, b in edges.reshape(-1, 2)]
+
+def _packed(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as a number in their order; data ends with eight more bytes."""
+    out = np.zeros(len(data) - 8, np.uint64)
+    for k in range(8):
+        out = out << np.uint64(8) | data[k : len(data) - 8 + k]
+    return out
 
 
-def _cut_out(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of wanted entries (c, doc_id, h, lo, hi, off, settled, crowded): rows of a phrase, or of each window of a crowded core."""
-    by_doc = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("c", "lo", "hi", "off", "settled", "crowded")).alias("entries")).withColumnsRenamed({"doc_id": "_doc", "h": "_h"})
-    held = keyed.where(F.octet_length("text") >= LENGTH).join(by_doc, F.expr("doc_id <=> _doc and h = _h")).select("doc_id", "h", "text", "entries")
-    names = ["c", "window", "doc_id", "h", "t", "settled", "left", "right"]
-    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
+def _dictionary_order(phrases: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The dictionary's suffix array, as the rank of every suffix (equal strings have equal ranks) of the joined phrases, and where each phrase begins."""
+    sizes = np.array([len(p) for p in phrases], np.int64)
+    begins = np.cumsum(sizes) - sizes
+    room = np.repeat(begins + sizes, sizes) - np.arange(sizes.sum())
+    words, near = _packed(np.frombuffer(b"".join(phrases) + bytes(8), np.uint8)), np.minimum(room, 8)
+    words &= np.uint64(0xFFFFFFFFFFFFFFFF) << (8 * (8 - near)).astype(np.uint64)  # nothing beyond the phrase's end
+    order = np.lexsort((near, words))
+    new = np.ones(len(order), bool)
+    new[1:] = (words[order[1:]] != words[order[:-1]]) | (near[order[1:]] != near[order[:-1]])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new)
+    return _doubled(rank, room, 8), begins
+
+
+def repeated_windows(pieces: list[bytes], first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, start) of every window, those that start from first to last in each piece, whose `length` bytes also start another one."""
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    ends = np.cumsum(sizes)
+    begins, text = ends - sizes, b"".join(pieces)
+    data = np.frombuffer(text + bytes(max(8, TRIGGER)), np.uint8)
+    # Phrases: from a trigger, or a piece's start, to the end of the next trigger, or the piece's end.
+    cuts = (_rolling(data)[: len(text)] >> np.uint64(32)) % np.uint64(PHRASE) == 0
+    cuts &= np.arange(len(text)) + TRIGGER <= np.repeat(ends, sizes)
+    cuts[begins] = True
+    starts = np.flatnonzero(cuts)
+    end = np.repeat(ends, sizes)[starts]
+    stops = np.minimum(np.append(starts[1:], len(text)) + TRIGGER, end)
+    words = [text[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+    dictionary = sorted(set(words))
+    number = {w: k for k, w in enumerate(dictionary, 1)}
+    parse_of = np.array([number[w] for w in words], np.int64)
+    # The suffix array of the parse: phrases up to the piece's end, compared by their place in the dictionary.
+    room = np.searchsorted(starts, end) - np.arange(len(starts))
+    parse_rank = _doubled(parse_of, room, 1)
+    # The windows, each in its phrase.
+    counts = last - first + 1
+    piece = np.repeat(np.arange(len(pieces)), counts)
+    at = (begins + first)[piece] + np.arange(counts.sum()) - (np.cumsum(counts) - counts)[piece]
+    phrase = np.searchsorted(starts, at, "right") - 1
+    owners, owner = np.unique(parse_of[phrase], return_inverse=True)
+    suffix_rank, phrase_begins = _dictionary_order([dictionary[k - 1] for k in owners.tolist()])
+    rest = suffix_rank[phrase_begins[owner] + at - starts[phrase]]
+    follows = np.where(room[phrase] > 1, parse_rank[np.minimum(phrase + 1, len(starts) - 1)], 0)
+    key = rest << 32 | follows
+    order = np.argsort(key, kind="stable")
+    a, b = at[order[:-1]], at[order[1:]]
+    equal = key[order[:-1]] == key[order[1:]]  # alike to their pieces' ends
+    packed, open_ = _packed(data), np.flatnonzero(~equal)
+    for k in [*range(0, length - 8, 8), length - 8]:
+        open_ = open_[packed[a[open_] + k] == packed[b[open_] + k]]
+    equal[open_] = True
+    found = np.zeros(len(at), bool)
+    found[order[1:][equal]] = True
+    found[order[:-1][equal]] = True
+    return piece[found], (at - begins[piece])[found]
+
+
+#: A piece: key, document, anchor, whether its windows are settled, the distances from the anchor that its windows have, the bytes before and from the anchor on.
+_CUT = "key long, u long, doc_id long, h long, t int, settled boolean, l0 int, l1 int, left binary, right binary"
+_CUT_NAMES = [x.split()[0] for x in _CUT.split(", ")]
+_CUT_KINDS = [pa.int64()] * 4 + [pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+
+
+def _cut_out(keyed: DataFrame, wanted: DataFrame, shape: Shape) -> DataFrame:
+    """The pieces of wanted entries (c, doc_id, h, lo, hi, off, settled)."""
+    by_doc = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("c", "lo", "hi", "off", "settled")).alias("entries")).withColumnsRenamed({"doc_id": "_doc", "h": "_h"})
+    held = keyed.where(F.octet_length("text") >= shape.length).join(by_doc, F.expr("doc_id <=> _doc and h = _h")).select("doc_id", "h", "text", "entries")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, h, text, entries in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows = []
-                for e in entries:
-                    lo, hi, t = e["lo"], e["hi"], e["lo"] + e["off"]
-                    if e["crowded"]:
-                        rows += [(None, xxhash.xxh3_128_digest(text[a : a + LENGTH]), doc, h, a, e["settled"], None, None) for a in range(lo, hi + 1)]
-                    else:
-                        rows.append((e["c"], None, doc, h, t, e["settled"], text[lo:t], text[t : hi + LENGTH]))
-                    if len(rows) > 4096:
-                        yield _batch(rows, kinds, names)
-                        rows = []
-                yield _batch(rows, kinds, names)
+                for at in range(0, len(entries), 4096):
+                    rows = []
+                    for e in entries[at : at + 4096]:
+                        lo, hi, t = e["lo"], e["hi"], e["lo"] + e["off"]
+                        rows.append((e["c"], 0, doc, h, t, e["settled"], t - hi, t - lo, text[lo:t], text[t : hi + shape.length]))
+                    yield _batch(rows, _CUT_KINDS, _CUT_NAMES)
 
-    return held.mapInArrow(cut, "c long, window binary, doc_id long, h long, t int, settled boolean, left binary, right binary")
+    return held.mapInArrow(cut, _CUT)
 
 
-def _sorted_out(phrases: DataFrame) -> DataFrame:
-    """Repeated windows of phrases that occur once, by the suffix orders of their cores."""
+def _halves(rows: DataFrame, width: int, shape: Shape) -> DataFrame:
+    """Pieces whose windows are within one stretch of `width` distances from the anchor, dealt by the string that all windows of the stretch hold."""
+    digest = xxhash.xxh3_64_intdigest
+
+    def halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for _, _, doc, h, t, settled, l0, l1, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for low in range(l0 // width * width, l1 + 1, width):
+                    a, b = max(l0, low), min(l1, low + width - 1)
+                    before, after = left[len(left) - b :], right[: shape.length - a]
+                    shared = before[len(before) - low :] + after[: shape.length - (low + width - 1)]
+                    out.append((_signed(digest(shared, low * 1024 + width)), _signed(digest(before + after, a * 1024 + b)), doc, h, t, settled, a, b, before, after))
+            yield _batch(out, _CUT_KINDS, _CUT_NAMES)
+
+    return rows.mapInArrow(halved, _CUT)
+
+
+def _split(pieces: DataFrame, crowded: DataFrame, shape: Shape, core_limit: int) -> tuple[DataFrame, DataFrame]:
+    """(pieces of no crowded key, windows found on the way)."""
+    here, rest = pieces.join(crowded, "key", "left_anti"), pieces.join(crowded, "key", "left_semi").select(*_CUT_NAMES)
+    found, width = None, shape.reach
+    while True:
+        width //= 2
+        rows = written(_halves(rest, width, shape).dropDuplicates(["key", "u", "doc_id", "h", "t"]), "halves")
+        alike = written(rows.groupBy("key", "u").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "t", "settled", "l0", "l1", "left", "right")).alias("at")), "alike")
+        again = rows.join(alike.where("n > 1").select("key", "u"), ["key", "u"], "left_semi").where("not settled")
+        spans = again.select("doc_id", "h", (F.col("t") - F.col("l1")).alias("lo"), (F.col("t") - F.col("l0")).alias("hi"))
+        found = spans if found is None else found.unionByName(spans)
+        one = alike.select("key", "u", "at.doc_id", "at.h", "at.t", ((F.col("n") > 1) | F.col("at.settled")).alias("settled"), "at.l0", "at.l1", "at.left", "at.right")
+        sizes = alike.groupBy("key").agg(F.count("*").alias("different")).where("different > 1")
+        here = here.select(*_CUT_NAMES).unionByName(one.join(sizes.where(F.col("different") <= core_limit).select("key"), "key", "left_semi").select(*_CUT_NAMES))
+        crowded = sizes.where(F.col("different") > core_limit).select("key")
+        if width == 1 or crowded.isEmpty():
+            return here, found
+        rest = one.join(crowded, "key", "left_semi").select(*_CUT_NAMES)
+
+
+def _sorted_out(pieces: DataFrame, shape: Shape) -> DataFrame:
+    """Repeated windows of pieces that aren't settled, by the corpus order of the pieces of a key."""
 
     def solved(rows: list[tuple]) -> pa.RecordBatch:
-        rows = list({row[:4]: row for row in rows}.values())  # equal rows of the corpus give a phrase twice
-        found = []
+        rows = list({(row[0], *row[2:5], row[6]): row for row in rows}.values())  # equal rows of the corpus give a piece twice
+        spans = []
         if len(rows) > 1:
-            core = np.array([r[0] for r in rows], np.int64)
-            flags = repeated_windows(core, [r[5] for r in rows], [r[6] for r in rows])
-            for k in np.flatnonzero(flags.any(axis=1)).tolist():
-                _, doc, h, t, settled, _, _ = rows[k]
+            left = np.array([len(r[8]) for r in rows], np.int64)
+            l0, l1 = (np.array([r[k] for r in rows], np.int64) for k in (6, 7))
+            piece, start = repeated_windows([r[8] + r[9] for r in rows], left - l1, left - l0, shape.length)
+            new = np.ones(len(piece), bool)
+            new[1:] = (piece[1:] != piece[:-1]) | (start[1:] != start[:-1] + 1)
+            at = np.flatnonzero(new)
+            for k, lo, hi in zip(piece[at].tolist(), start[at].tolist(), start[np.append(at[1:], len(piece)) - 1].tolist(), strict=True):
+                _, _, doc, h, t, settled, *_ = rows[k]
                 if not settled:
-                    found += [(doc, h, t - last, t - first) for first, last in _runs(flags[k])]
-        return _batch(found, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], ["doc_id", "h", "lo", "hi"])
+                    begin = t - int(left[k])
+                    spans.append((doc, h, begin + lo, begin + hi))
+        return _batch(spans, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], ["doc_id", "h", "lo", "hi"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -236,14 +333,13 @@ def _sorted_out(phrases: DataFrame) -> DataFrame:
                 held.append(row)
         yield solved(held)
 
-    grouped = phrases.select("c", "doc_id", "h", "t", "settled", "left", "right").repartition("c").sortWithinPartitions("c")
-    return grouped.mapInArrow(sort, _FOUND)
+    return pieces.select(*_CUT_NAMES).repartition("key").sortWithinPartitions("key").mapInArrow(sort, _FOUND)
 
 
-def repeated_spans(docs: DataFrame, core_limit: int = CORE_LIMIT) -> DataFrame:
+def repeated_spans(docs: DataFrame, shape: Shape = Shape(), core_limit: int = CORE_LIMIT) -> DataFrame:
     """(doc_id, h, lo, hi): in the document with this key, every window that starts from lo to hi also starts elsewhere."""
     keyed = _keyed(docs)
-    parsed = written(_parsed(keyed), "parse")
+    parsed = written(_parsed(keyed, shape), "parse")
     whole = ["doc_id", "h", "lo", "hi"]
     entries = parsed.where("c is not null")
     cores = entries.groupBy("c").agg(F.sum("n").alias("total"), F.min("u").alias("u0"), F.max("u").alias("u1")).where("total > 1").select("c", (F.col("u0") != F.col("u1")).alias("mixed"))
@@ -256,34 +352,36 @@ def repeated_spans(docs: DataFrame, core_limit: int = CORE_LIMIT) -> DataFrame:
     phrases = written(mixed.groupBy("c", "u").agg(F.sum("n").alias("total"), F.min(F.struct("doc_id", "h", "lo", "hi", "off")).alias("at")), "phrases", most)
     again = mixed.join(phrases.where("total > 1").select("c", "u"), ["c", "u"], "left_semi").select(*whole)
     sizes = phrases.groupBy("c").agg(F.count("*").alias("different"), F.min("total").alias("least")).where("least = 1")
-    open_cores = sizes.select("c", (F.col("different") > core_limit).alias("crowded"))
-    wanted = phrases.join(open_cores, "c").select("c", "at.*", (F.col("total") > 1).alias("settled"), "crowded")
-    pieces = _cut_out(keyed, wanted)
+    wanted = phrases.join(sizes.select("c"), "c", "left_semi").select("c", "at.*", (F.col("total") > 1).alias("settled"))
+    pieces = _cut_out(keyed, wanted, shape)
     found = alike.unionByName(again)
     if (sizes.agg(F.max("different")).first()[0] or 0) > core_limit:
-        pieces = written(pieces, "pieces")
-        windows = pieces.where("c is null").dropDuplicates(["window", "doc_id", "h", "t"])
-        twice = windows.groupBy("window").count().where(F.col("count") > 1).select("window")
-        found = found.unionByName(windows.where("not settled").join(twice, "window", "left_semi").select("doc_id", "h", F.col("t").alias("lo"), F.col("t").alias("hi")))
-    return found.unionByName(_sorted_out(pieces.where("c is not null")))
+        pieces, spans = _split(written(pieces, "pieces"), sizes.where(F.col("different") > core_limit).select(F.col("c").alias("key")), shape, core_limit)
+        found = found.unionByName(spans)
+    return found.unionByName(_sorted_out(pieces, shape))
 
 
-def remove(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
-    """Bytes kept, bytes removed and removed runs, for windows that start in spans (first, last)."""
+def remove(text: bytes, spans: list[tuple[int, int]], length: int = LENGTH, least_words: int = 0) -> tuple[bytes, int, int]:
+    """Bytes kept, bytes removed and removed runs, for windows that start in spans (first, last). Runs of fewer than least_words words stay."""
     if not spans:
         return text, 0, 0
     change = np.zeros(len(text) + 1, np.int64)
     np.add.at(change, [lo for lo, _ in spans], 1)
-    np.add.at(change, [hi + LENGTH for _, hi in spans], -1)
+    np.add.at(change, [hi + length for _, hi in spans], -1)
     gone = np.cumsum(change[:-1]) > 0
-    runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-    return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).reshape(-1, 2).tolist()
+    if least_words:
+        for a, b in edges:
+            if len(text[a:b].split()) < least_words:
+                gone[a:b] = False
+        edges = [(a, b) for a, b in edges if gone[a]]
+    return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), len(edges)
 
 
-def _removed(docs: DataFrame, keep: bool) -> DataFrame:
+def _removed(docs: DataFrame, keep: bool, length: int = LENGTH, least_words: int = 0) -> DataFrame:
     """The digest of every row, with the kept text and a struct `rest` of the other columns if asked to keep them."""
     bounded_batches(docs.sparkSession)
-    spans = repeated_spans(docs).groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).withColumnsRenamed({"doc_id": "_doc", "h": "_h"})
+    spans = repeated_spans(docs, Shape(length)).groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).withColumnsRenamed({"doc_id": "_doc", "h": "_h"})
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] if keep else []
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), F.struct(F.lit(0).alias("_"), *rest).alias("rest"))
     joined = keyed.join(spans, F.expr("doc_id <=> _doc and h = _h"), "left").select("doc_id", "text", "spans", "rest")
@@ -294,7 +392,7 @@ def _removed(docs: DataFrame, keep: bool) -> DataFrame:
         for batch in batches:
             rows = []
             for doc, text, found in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                kept, n, runs = remove(text, [(x["lo"], x["hi"]) for x in found or ()])
+                kept, n, runs = remove(text, [(x["lo"], x["hi"]) for x in found or ()], length, least_words)
                 rows.append((doc, len(text), n, runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep else None))
             made = _batch(rows, kinds, names[:-1])
             yield pa.RecordBatch.from_arrays([*made.columns, batch.column(3)], names=names)
@@ -302,12 +400,12 @@ def _removed(docs: DataFrame, keep: bool) -> DataFrame:
     return joined.mapInArrow(removed, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, rest {joined.schema['rest'].dataType.simpleString()}")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    return _removed(docs, False).drop("kept", "rest")
+    return _removed(docs, False, length).drop("kept", "rest")
 
 
-def dedup_documents(docs: DataFrame) -> DataFrame:
-    """docs with the kept text, same columns. A character that a removed run cuts in two goes with the run."""
+def dedup_documents(docs: DataFrame, length: int = LENGTH, least_words: int = 0) -> DataFrame:
+    """docs with the kept text, same columns. A character that a removed run cuts in two goes with the run. least_words: runs of fewer words stay."""
     columns = {"doc_id": F.col("doc_id"), "text": F.col("kept")}
-    return _removed(docs, True).select(*(columns.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))
+    return _removed(docs, True, length, least_words).select(*(columns.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))

@@ -1,21 +1,27 @@
 import collections
 import hashlib
 import random
+import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corelens.llm import suffix_dedup as sd
 
 
-def naive(texts):
-    """n_bytes, n_removed, n_spans, sha256 of each text, by all windows of 400 bytes."""
-    counts = collections.Counter(t[a : a + 400] for t in texts for a in range(len(t) - 399))
+def naive(texts, length=400, least_words=0):
+    """n_bytes, n_removed, n_spans, sha256 of each text, by all windows of `length` bytes."""
+    counts = collections.Counter(t[a : a + length] for t in texts for a in range(len(t) - length + 1))
     out = []
     for t in texts:
         gone = bytearray(len(t))
-        for a in range(len(t) - 399):
-            if counts[t[a : a + 400]] > 1:
-                gone[a : a + 400] = b"\1" * 400
+        for a in range(len(t) - length + 1):
+            if counts[t[a : a + length]] > 1:
+                gone[a : a + length] = b"\1" * length
+        for run in re.finditer(b"\1+", gone):
+            if len(t[run.start() : run.end()].split()) < least_words:
+                gone[run.start() : run.end()] = bytes(len(run[0]))
         kept = bytes(x for x, g in zip(t, gone) if not g)
         runs = sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
         out.append((len(t), sum(gone), runs, hashlib.sha256(kept).hexdigest()))
@@ -42,11 +48,11 @@ def _corpus(seed):
     return out
 
 
-@pytest.mark.parametrize("seed,limit", [(1, 20_000), (2, 20_000), (3, 2)])
+@pytest.mark.parametrize("seed,limit", [(1, 20_000), (2, 20_000), (3, 2), (4, 5)])
 def test_matches_brute_force(spark, monkeypatch, seed, limit):
     texts = _corpus(seed)
     df = spark.createDataFrame([(k, t, 1, "x") for k, t in enumerate(texts)], "doc_id long, text string, lo int, h string")
-    monkeypatch.setattr(sd.repeated_spans, "__defaults__", (limit,))
+    monkeypatch.setattr(sd.repeated_spans, "__defaults__", (sd.Shape(), limit))
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.dedup(df.repartition(3)).collect()}
     want = dict(enumerate(naive([t.encode() for t in texts])))
     assert {k: v for k, v in got.items() if v != want[k]} == {}
@@ -74,3 +80,47 @@ def test_periodic_text_is_settled_inside():
     text = b"ab" * 5000
     rows = list(sd._entries(1, 2, text, sd.parse([text])[0]))
     assert len(rows) < 20
+
+
+def test_shorter_strings_and_least_words(spark):
+    texts = _corpus(5)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for length, words in ((200, 0), (200, 50), (64, 20)):
+        want = {k: len(t.encode()) - n for k, (t, (_, n, _, _)) in enumerate(zip(texts, naive([t.encode() for t in texts], length, words)))}
+        got = {r.doc_id: r.n_bytes - r.n_removed for r in sd._removed(df, False, length, words).collect()}
+        assert got == want
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_corpus_order_of_pieces(seed):
+    """Every window against every other, on pieces with few letters, repeats and cuts inside phrases."""
+    rng = random.Random(seed)
+    letters = [b"ab", b"\0a", b"abcdefgh", bytes(range(256))][seed % 4]
+    base = [bytes(rng.choices(letters, k=rng.randint(40, 400))) for _ in range(4)]
+    pieces = []
+    for _ in range(30):
+        x = b"".join(rng.choices(base, k=3))
+        a = rng.randrange(len(x) // 2)
+        pieces.append(x[a : a + rng.randint(70, 300)])
+    length = rng.choice([16, 30, 64])
+    first = np.array([rng.randint(0, (len(p) - length) // 2) if len(p) >= length else 0 for p in pieces])
+    last = np.array([rng.randint(f, len(p) - length) if len(p) >= length else -1 for f, p in zip(first, pieces)])
+    windows = [(k, a, pieces[k][a : a + length]) for k in range(len(pieces)) for a in range(first[k], last[k] + 1)]
+    counts = collections.Counter(w for _, _, w in windows)
+    piece, start = sd.repeated_windows(pieces, first, last, length)
+    assert sorted(zip(piece.tolist(), start.tolist())) == [(k, a) for k, a, w in windows if counts[w] > 1]
+
+
+def test_a_hot_core_is_split(spark):
+    """A passage in very many contexts: no task gets more than the limit of pieces of a key, and the result is that of brute force."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    passage = " ".join(word() for _ in range(70))
+    texts = [f"{word()} {word()} {passage} {word()} {word()}" for _ in range(120)] + [f"{word()} {word()} {word()} {passage[:420]} {word()}" for _ in range(60)]
+    keyed = sd._keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = collections.defaultdict(set)
+    for r in sd.repeated_spans(keyed.select("doc_id", F.col("text").cast("string").alias("text")), core_limit=10).collect():
+        got[r.doc_id] |= set(range(r.lo, r.hi + 1))
+    raw = [t.encode() for t in texts]
+    counts = collections.Counter(t[a : a + 400] for t in raw for a in range(len(t) - 399))
+    assert got == {k: found for k, t in enumerate(raw) if (found := {a for a in range(len(t) - 399) if counts[t[a : a + 400]] > 1})}
