@@ -3,31 +3,36 @@
 A document's size is its number of words. Sources in code point order (null last) weigh 5, 2, 1, 5, 2, 1, ...; targets share
 out the words of all documents by weight, stop at MOST_REPEATS times a source's own words, and what lies above is shared again.
 
-Slot n of the schedule has the golden-ratio point frac(n * phi), which the cumulative target shares map to a source. A source's documents stand
-in hashed order as one stream, cut into blocks of BLOCK words and repeated up to MOST_REPEATS times; the r-th slot of a source
-takes its r-th block. Points of low discrepancy leave each source within a few blocks of its target; closing slots
-supply what is missing, slots above the target are left out, and the last block ends at the target.
+The mix has as many slots as blocks make up all words. Slot n has the golden-ratio point frac(n * phi), which the cumulative target shares map to
+a source; the schedule alone decides how many slots a source gets and where they stand. A source's documents stand
+in hashed order as one stream, repeated up to MOST_REPEATS times and cut into blocks; the r-th slot of a source
+takes its r-th block. Points of low discrepancy leave each source within a few blocks of its target.
+
+A block has ceil(words / SLOTS) words, MOST_BLOCK at most: so small a part of all words that a few of them don't show, while the schedule
+and the pieces that documents are cut into stay small. The mix is read by slots: `slots` names where each copy of a document begins.
 
 Ranks and stream positions are running counts over a source, which may hold a third of all rows. They come in two levels,
-sums of bounded chunks and counts inside a chunk, so no task sorts a whole source.
+sums of chunks and counts inside a chunk, with about as many chunks as rows in a chunk, so no task sorts a whole source.
 
 Defined cases: a null text has size 0, as has one of white space, and takes nothing; with no words at all, all targets are
-0; equal rows are separate documents; a null doc_id is kept; an empty table gives an empty table; further columns are ignored. More than
-MAX_SOURCES sources raise ValueError, for their table goes to every task.
+0; equal rows are separate documents; a null doc_id is kept; an empty table gives an empty table; further columns are ignored. Sources are
+names of collections: their sums, targets and arcs are a row for each on the driver.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corelens.session import written
 
-WEIGHTS, MOST_REPEATS, BLOCK = (5, 2, 1), 3, 64
-MAX_SOURCES = 100_000
+WEIGHTS, MOST_REPEATS = (5, 2, 1), 3
+SLOTS, MOST_BLOCK = 1 << 20, 1 << 18
 #: 2**32 over the golden ratio, made odd; the points are exact in 64-bit integers.
 GOLDEN, SPAN = 2_654_435_769, 1 << 32
-CELLS, SLOT_CHUNK, DOC_CHUNK = 4_096, 8_192, 4_096
+CELLS = 4_096
 
 
 def word_count(text: Column) -> Column:
@@ -49,18 +54,26 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, repeats: int =
             out[k] = float(repeats * sizes[k])
 
 
+def block_words(total: int) -> int:
+    """Words of a block when all documents have `total`."""
+    return min(MOST_BLOCK, max(1, -(-total // SLOTS)))
+
+
+def _chunks(n: int) -> int:
+    return max(1, math.isqrt(n))
+
+
 def _positions(sized: DataFrame, n: int) -> DataFrame:
     """Adds `start`, the words before a document in its source's stream."""
-    chunks = max(1, -(-n // DOC_CHUNK))
-    dealt = sized.withColumn("chunk", F.pmod(F.col("h"), F.lit(chunks)))
+    dealt = sized.withColumn("chunk", F.pmod(F.col("h"), F.lit(_chunks(n))))
     before = Window.partitionBy("ix").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("ix", "chunk").agg(F.sum("size").alias("words")).withColumn("offset", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words")
     inside = Window.partitionBy("ix", "chunk").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     return dealt.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["ix", "chunk"]).withColumn("start", F.col("offset") + F.col("inside")).drop("offset", "inside", "chunk")
 
 
-def schedule(spark, wanted: list[float], block: int = BLOCK) -> DataFrame:
-    """(slot, ix, rank): which block of which source each slot takes. wanted: words of each source."""
+def schedule(spark, wanted: list[float], block: int) -> DataFrame:
+    """(slot, ix, rank): which source each slot takes, and how many slots that source had before. wanted: words of each source."""
     total = sum(wanted)
     n = -(-int(round(total)) // block)
     edges, at = [0], 0.0
@@ -73,65 +86,69 @@ def schedule(spark, wanted: list[float], block: int = BLOCK) -> DataFrame:
     arcs = [(cell, ix, lo, hi) for ix, (lo, hi) in enumerate(zip(edges, edges[1:])) if hi > lo for cell in range(lo // step, (hi - 1) // step + 1)]
     arcs_df = spark.createDataFrame(arcs, "cell long, ix int, lo long, hi long")
     points = spark.range(n).select(F.col("id").alias("slot"), ((F.col("id") % (1 << 31)) * F.lit(GOLDEN).cast("long") % SPAN).alias("p")).withColumn("cell", F.expr(f"p div {step}"))
-    # arcs: at most CELLS + MAX_SOURCES rows
-    mapped = points.join(F.broadcast(arcs_df), "cell").where("p >= lo and p < hi").select("slot", "ix", F.expr(f"slot div {SLOT_CHUNK}").alias("chunk"))
-    counts = written(mapped.groupBy("ix", "chunk").count(), "slots", len(wanted) * -(-n // SLOT_CHUNK))
+    # arcs: at most a row for each cell and one for each source
+    size = max(1, math.isqrt(n))
+    mapped = points.join(F.broadcast(arcs_df), "cell").where("p >= lo and p < hi").select("slot", "ix", F.expr(f"slot div {size}").alias("chunk"))
+    counts = mapped.groupBy("ix", "chunk").count()
     before = Window.partitionBy("ix").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("ix", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("ix", "chunk").orderBy("slot")
-    ranked = mapped.withColumn("k", F.row_number().over(inside) - 1).join(offsets, ["ix", "chunk"]).select("slot", "ix", (F.col("offset") + F.col("k")).alias("rank"))
-    had = {r["ix"]: r["n"] for r in counts.groupBy("ix").agg(F.sum("count").alias("n")).collect()}
-    needs = [(ix, -(-round(x) // block), had.get(ix, 0)) for ix, x in enumerate(wanted)]
-    need_df = spark.createDataFrame(needs, "ix int, need long, had long")
-    kept = ranked.join(F.broadcast(need_df.select("ix", "need")), "ix").where("rank < need").select("slot", "ix", "rank")
-    closing = need_df.where("need > had").select(F.lit(n).cast("long").alias("slot"), "ix", F.explode(F.sequence(F.col("had"), F.col("need") - 1)).alias("rank"))
-    return kept.unionByName(closing)
+    return mapped.withColumn("k", F.row_number().over(inside) - 1).join(offsets, ["ix", "chunk"]).select("slot", "ix", (F.col("offset") + F.col("k")).alias("rank"))
+
 
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int | None = None) -> DataFrame:
+    """doc_id, source, h (hash of the row's text), size, source_size, target, taken, first_slot and copies of every row.
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK) -> DataFrame:
-    """doc_id, source, h (hash of the row's text), size, source_size, target and taken of every row."""
+    copies: (slot, words) of each time that the mix takes words of the document, in the order of the mix; first_slot: the first of their slots.
+    """
     spark = docs.sparkSession
     sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("h")), "sizes")
-    sums = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(sums) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    sums = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()
     sums.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    if not sums:
-        return sized.select("doc_id", "source", "h", "size", F.col("size").alias("source_size"), F.lit(0.0).alias("target"), F.col("size").alias("taken"))
-    wanted = targets([r["words"] for r in sums], weights)
-    named = spark.createDataFrame([(r["source"], k, r["words"], t, round(t)) for k, (r, t) in enumerate(zip(sums, wanted, strict=True))], "name string, ix int, source_size long, target double, end long")
+    wanted = targets([r["words"] for r in sums], weights) if sums else []
+    named = spark.createDataFrame([(r["source"], k, r["words"], t) for k, (r, t) in enumerate(zip(sums, wanted, strict=True))], "name string, ix int, source_size long, target double")
     placed = _positions(sized.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("name"))).drop("name"), sum(r["n"] for r in sums))
+    block = block or block_words(sum(r["words"] for r in sums))
     slots = schedule(spark, wanted, block)
-    # The pieces of a document: for each time its stream comes round before the target, its words in each block.
-    rounds = F.transform(F.sequence(F.lit(0), F.lit(MOST_REPEATS - 1)), lambda e: F.struct((F.col("start") + e * F.col("source_size")).alias("a"), F.least(F.col("start") + e * F.col("source_size") + F.col("size"), F.col("end")).alias("b")))
-    parts = F.filter(rounds, lambda x: x["b"] > x["a"])
+    # The pieces of a document: for each time its stream comes round, its words in each block.
+    rounds = F.transform(F.sequence(F.lit(0), F.lit(MOST_REPEATS - 1)), lambda e: F.struct(e.alias("e"), (F.col("start") + e * F.col("source_size")).alias("a"), (F.col("start") + e * F.col("source_size") + F.col("size")).alias("b")))
     cut = F.flatten(
         F.transform(
-            parts,
+            F.filter(rounds, lambda x: x["b"] > x["a"]),
             lambda x: F.transform(
                 F.sequence(F.floor(x["a"] / block), F.floor((x["b"] - 1) / block)),
-                lambda r: F.struct(r.cast("long").alias("rank"), (F.least(x["b"], (r + 1) * block) - F.greatest(x["a"], r * block)).cast("long").alias("words")),
+                lambda r: F.struct(r.cast("long").alias("rank"), x["e"].alias("e"), (F.least(x["b"], (r + 1) * block) - F.greatest(x["a"], r * block)).cast("long").alias("words")),
             ),
         )
     )
-    nothing = F.array(F.struct((-1 - F.col("start")).cast("long").alias("rank"), F.lit(0).cast("long").alias("words")))  # each document has a row at least; no slot has this rank
-    pieces = placed.select("doc_id", "source", "h", "ix", "size", "source_size", "target", "start", F.explode(F.concat(nothing, cut)).alias("p")).select("*", "p.rank", "p.words").drop("p")
-    pieces = pieces.withColumn("row", F.when(F.col("rank") < 0, 1).otherwise(0))
-    joined = pieces.join(slots.select("ix", "rank", F.lit(True).alias("scheduled")), ["ix", "rank"], "left")
-    taken = F.sum(F.when(F.col("scheduled"), F.col("words")).otherwise(0))
+    nothing = F.array(F.struct((-1 - F.pmod(F.col("h"), F.lit(1 << 40))).cast("long").alias("rank"), F.lit(-1).alias("e"), F.lit(0).cast("long").alias("words")))  # each document has a row at least; no slot has this rank
+    pieces = placed.select("doc_id", "source", "h", "ix", "size", "source_size", "target", "start", F.explode(F.concat(nothing, cut)).alias("p")).select("*", "p.rank", "p.e", "p.words").drop("p")
+    joined = pieces.join(slots, ["ix", "rank"], "left")
+    taken = F.when(F.col("slot").isNotNull(), F.struct("e", "slot", "words"))
     # Documents without words may share all of these columns: `rows` counts them, and each gets its row back.
-    summed = joined.groupBy("ix", "start", "doc_id", "source", "h", "size", "source_size", "target").agg(taken.alias("taken"), F.sum("row").alias("rows"))
-    return summed.select("doc_id", "source", "h", "size", "source_size", "target", "taken", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("_r")).drop("_r")
+    summed = joined.groupBy("ix", "start", "doc_id", "source", "h", "size", "source_size", "target").agg(F.collect_list(taken).alias("parts"), F.sum(F.when(F.col("e") < 0, 1).otherwise(0)).alias("rows"))
+
+    def copy(e: Column) -> Column:
+        own = F.filter("parts", lambda p: p["e"] == e)
+        return F.struct(F.array_min(F.transform(own, lambda p: p["slot"])).alias("slot"), F.aggregate(own, F.lit(0).cast("long"), lambda x, p: x + p["words"]).alias("words"))
+
+    copies = F.sort_array(F.filter(F.transform(F.sequence(F.lit(0), F.lit(MOST_REPEATS - 1)), copy), lambda c: c["words"] > 0))
+    each = summed.withColumn("copies", copies).withColumn("_r", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    total = F.aggregate("copies", F.lit(0).cast("long"), lambda x, c: x + c["words"])
+    return each.select("doc_id", "source", "h", "size", "source_size", "target", total.alias("taken"), F.element_at("copies.slot", F.when(F.size("copies") > 0, 1)).alias("first_slot"), "copies")
+
 
+def mix_documents(docs: DataFrame, ordered: bool = True) -> DataFrame:
+    """The mix itself: each document as often as it was taken, and a copy that was taken in part cut to its first words; same columns.
 
-def mix_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as it was taken, and a document that was taken in part cut to its first words; same columns."""
-    per = mixed(docs).where("taken > 0").groupBy("doc_id", "source", "h", "size").agg(F.sum("taken").alias("taken"))
+    ordered: rows stand in the order of the schedule's slots, partition by partition; without, their order is left open and a shuffle saved.
+    """
+    per = mixed(docs).where("taken > 0").select("doc_id", "source", "h", "size", F.explode("copies").alias("c")).select("doc_id", "source", "h", "size", "c.slot", "c.words")
     keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_source": F.col("source").cast("string"), "_h": F.xxhash64("doc_id", "text")}).dropDuplicates(["_id", "_source", "_h"])
-    per = per.toDF("_pid", "_psource", "_ph", "_size", "_taken")
-    joined = keyed.join(per, F.expr("_h = _ph and _id <=> _pid and _source <=> _psource"))
-    whole, rest = F.expr("_taken div _size"), F.col("_taken") % F.col("_size")
-    copies = F.concat(F.array_repeat(F.col("_size"), whole.cast("int")), F.array(F.when(rest > 0, rest)))
-    out = joined.withColumn("_words", F.explode(F.filter(copies, lambda x: x.isNotNull())))
+    per = per.toDF("_pid", "_psource", "_ph", "_size", "_slot", "_words")
+    out = keyed.join(per, F.expr("_h = _ph and _id <=> _pid and _source <=> _psource"))
     head = F.array_join(F.slice(F.split(F.btrim("text", F.lit(" \t\n\x0b\f\r")), "[\\x20\\x09-\\x0D]+"), F.lit(1), F.col("_words").cast("int")), " ")
-    return out.withColumn("text", F.when(F.col("_words") < F.col("_size"), head).otherwise(F.col("text"))).select(*docs.columns)
+    out = out.withColumn("text", F.when(F.col("_words") < F.col("_size"), head).otherwise(F.col("text")))
+    if ordered:
+        out = out.repartitionByRange("_slot", "_h").sortWithinPartitions("_slot", "_h")
+    return out.select(*docs.columns)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corelens.llm import language_id, license_scan, media, mixing, packing, quality_rules, resampling, simhash, suffix_dedup, toxicity
 from corelens.session import few_files, table
@@ -48,7 +49,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return few_files(mixing.mixed(docs).drop("h"), docs.count(), DOCS_PER_FILE)
+    return few_files(mixing.mixed(docs).withColumn("n_copies", F.size("copies")).drop("h", "copies"), docs.count(), DOCS_PER_FILE)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
