@@ -1,15 +1,19 @@
 """Packing documents into training sequences by lexical retrieval.
 
-Documents are dealt by a hash into partitions and, in hashed order, into shards of at most SHARD_DOCS documents and
-SHARD_CHARS characters. A shard has an inverted index with BM25 weights. The first unused document seeds a window of WINDOW tokens; its best unused
-neighbours (BM25 with all of the seed's words as query) follow until the window is full. The document at which a window ends is cut there, goes on in the next window
-and is the seed of that one. Where no unused document shares a word, the next unused one follows.
+1. Corpus counts. One scan counts in how many documents each hashed word stands, the words of all documents, and the bytes of each lexical bucket. A bucket is
+   made of the first bits of a document's min-hashes over its words, so documents that share many words tend to share it.
+2. Parts. Neighbouring buckets are joined to parts of about PART_BYTES; a bucket with more, such as that of very many copies, is dealt over several parts. Inside a part
+   documents stand in the order of their min-hashes, and shards are runs of at most SHARD_DOCS of them.
+3. Retrieval. A shard has an inverted index with BM25 weights (document frequencies and mean length of the whole corpus). The first unused document seeds a window of WINDOW tokens;
+   its best unused neighbours (BM25 with all of the seed's words as query) follow until the window is full. The document at which a window ends is cut there, goes on
+   in the next window and is the seed of that one. Where no unused document shares a word, the next unused one follows.
 
-Every window but a partition's last is full. The tail of a partition is cut into sequences of powers of two, which
-need no padding. A sequence_id has the partition in its upper and a running number in its lower 32 bits.
+Every window but a part's last is full. The tail of a part is cut into sequences of powers of two, which
+need no padding. A sequence_id has the part in its upper and a running number in its lower 32 bits; parts follow from the documents (copies
+in a heavy bucket: also from their place in the input), so neither shuffle partitions nor retried tasks change an id.
 
-Tokens are those of the byte-level BPE in byte_bpe_50k.json, special tokens' strings read as ordinary text, then id 0. The same merges are applied by a faster
-library from byte_bpe_50k.tiktoken, which gives the same ids (a test compares them).
+Tokens are those of `tokenizers` with byte_bpe_50k.json, then id 0; a special token's string in a text is that token, as the library has it by default. The same merges are
+applied by a faster library from byte_bpe_50k.tiktoken, which gives the same ids (a test compares them).
 
 Defined cases: a null or empty text is the one id 0; a document longer than a window fills several; equal rows are separate
 documents with pieces of their own; a null doc_id is kept; an empty table gives an empty table; further columns are ignored.
@@ -20,10 +24,10 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +35,15 @@ from corelens.session import bounded_batches
 
 WINDOW, END = 1024, 0
 SHARD_DOCS, SHARD_CHARS = 1024, 16_000_000
+#: Bytes of a part, with ROW_BYTES for each document, and buckets of hashed words and of lexical keys (their tables go to the driver and to every task).
+PART_BYTES, ROW_BYTES, WORD_BUCKETS, KEY_BITS = 4 << 20, 64, 1 << 18, 9
 K1, B = 1.2, 0.75
+#: The vocabulary's special token.
+SPECIAL = {"<|endoftext|>": 50256}
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, seed_doc_id long"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_FACTORS = np.random.default_rng(3).integers(0, 2**63, 3, np.uint64) * np.uint64(2) + np.uint64(1)
 _encoders: dict[str, object] = {}
 
 
@@ -46,30 +55,103 @@ def encoder(path: str | None = None):
 
         with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _encoders[path] = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _encoders[path] = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
     return _encoders[path]
 
 
 def token_ids(text: str | None, path: str | None = None) -> np.ndarray:
-    return np.array([*encoder(path).encode_ordinary(text or ""), END], "<u4")
+    return np.array([*encoder(path).encode(text or "", allowed_special="all"), END], "<u4")
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    words = text.translate(_LOWER).split()
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+
+
+def lexical_keys(distinct: np.ndarray) -> list[int]:
+    """Min-hashes of a document's distinct word hashes, 63 bits each; zeros without words."""
+    if not len(distinct):
+        return [0] * len(_FACTORS)
+    x = distinct.astype(np.uint64)
+    x = (x ^ x >> np.uint64(15)) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    return ((x[None, :] * _FACTORS[:, None]).min(axis=1) >> np.uint64(1)).tolist()
+
+
+def bucket_of(keys: list[int]) -> int:
+    """The first KEY_BITS bits of the first two min-hashes."""
+    return keys[0] >> 63 - KEY_BITS << KEY_BITS | keys[1] >> 63 - KEY_BITS
+
+
+@dataclass(frozen=True)
+class CorpusCounts:
+    """documents, words: of the corpus; df: documents by hashed word; first_part, parts: where a lexical bucket's documents go."""
+
+    documents: int
+    words: int
+    df: np.ndarray
+    first_part: np.ndarray
+    parts: np.ndarray
+
+
+def parts_of(weights: np.ndarray, part_bytes: int = PART_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """First part and number of parts of each bucket: neighbouring buckets share a part until it's full, a heavy one has parts of its own."""
+    first, parts = np.zeros(len(weights), np.int64), np.ones(len(weights), np.int64)
+    at, filled = 0, 0
+    for k in np.flatnonzero(weights).tolist():
+        w = int(weights[k])
+        if filled and filled + w > part_bytes:
+            at, filled = at + 1, 0
+        first[k], parts[k] = at, max(1, -(-w // part_bytes))
+        if parts[k] > 1:
+            at, filled = at + int(parts[k]), 0
+        else:
+            filled += w
+    return first, parts
+
+
+def corpus_counts(narrow: DataFrame, part_bytes: int = PART_BYTES) -> CorpusCounts:
+    """Counts over (doc_id, text); a task yields at most a row for each bucket."""
+    keys = 1 << 2 * KEY_BITS
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(WORD_BUCKETS + keys + 2, np.int64)
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                text = text or b""
+                hashes = word_hashes(text)
+                distinct = np.unique(hashes)
+                n[np.unique(distinct % WORD_BUCKETS)] += 1
+                n[WORD_BUCKETS + bucket_of(lexical_keys(distinct))] += len(text) + ROW_BYTES
+                n[-2:] += (1, len(hashes))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["bucket", "n"])
+
+    total = np.zeros(WORD_BUCKETS + keys + 2, np.int64)
+    found = narrow.mapInArrow(counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    total[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return CorpusCounts(int(total[-2]), int(total[-1]), total[:WORD_BUCKETS].astype(np.float64), *parts_of(total[WORD_BUCKETS:-2], part_bytes))
 
 
 class ShardIndex:
-    """Inverted BM25 index of one shard."""
+    """Inverted BM25 index of one shard. counts: those of the corpus; without, the shard is the corpus."""
 
-    def __init__(self, texts: list[bytes]):
-        words = [t.translate(_LOWER).split() for t in texts]
+    def __init__(self, texts: list[bytes], counts: CorpusCounts | None = None):
+        hashed = [word_hashes(t) for t in texts]
         n = len(texts)
-        lengths = np.array([len(w) for w in words], float)
-        pairs = np.fromiter((k for ws in words for k in map(zlib.crc32, ws)), np.int64, int(lengths.sum()))
-        pairs = pairs << 24 | np.repeat(np.arange(n), lengths.astype(int))
+        lengths = np.array([len(x) for x in hashed], float)
+        pairs = np.concatenate([np.empty(0, np.int64), *hashed]) << 24 | np.repeat(np.arange(n), lengths.astype(int))
         pairs, tf = np.unique(pairs, return_counts=True)
         terms, docs = pairs >> 24, pairs & 0xFFFFFF
         first = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]])) if len(terms) else np.empty(0, np.int64)
         df = np.diff(np.append(first, len(terms)))
         term_of = np.repeat(np.arange(len(first)), df)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if n else 1.0))
+        if counts is None:
+            idf, mean = np.log1p((n - df + 0.5) / (df + 0.5)), lengths.mean() if n else 1.0
+        else:
+            spread = counts.df[terms[first] % WORD_BUCKETS]
+            idf, mean = np.log1p((counts.documents - spread + 0.5) / (spread + 0.5)), counts.words / counts.documents
+        norm = K1 * (1 - B + B * lengths / max(1.0, mean))
         self.first, self.df, self.docs = first, df, docs
         self.weight = idf[term_of] * tf * (K1 + 1) / (tf + norm[docs])
         # Per document, its words that other documents share.
@@ -88,9 +170,9 @@ class ShardIndex:
         return np.bincount(self.docs[spans], self.weight[spans], self.n)
 
 
-def reading_order(texts: list[bytes], sizes: list[int], filled: int, window: int = WINDOW) -> list[tuple[int, int]]:
+def reading_order(texts: list[bytes], sizes: list[int], filled: int, window: int = WINDOW, counts: CorpusCounts | None = None) -> list[tuple[int, int]]:
     """(document, seed) in the order in which they fill windows; `filled` tokens already stand in the first window."""
-    index, n = ShardIndex(texts), len(texts)
+    index, n = ShardIndex(texts, counts), len(texts)
     used = np.zeros(n, bool)
     out: list[tuple[int, int]] = []
     following = 0
@@ -155,39 +237,59 @@ class _Packer:
         self.tail, self.at = [], 0
 
 
-def packed(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
+def packed(docs: DataFrame, tokenizer_path: str | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
     """The pieces of all documents."""
     bounded_batches(docs.sparkSession)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(corpus_counts(narrow, part_bytes))  # tables of fixed size
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, row = shared.value, 0
+        for batch in batches:
+            keys = [lexical_keys(np.unique(word_hashes(t or b""))) for t in batch.column(1).to_pylist()]
+            salts, parts = batch.column(2).to_numpy(zero_copy_only=False), []
+            for k, salt in zip(keys, salts.tolist(), strict=True):
+                bucket = bucket_of(k)
+                parts.append(int(counts.first_part[bucket]) + (salt + row * 0x9E3779B9) % int(counts.parts[bucket]))
+                row += 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(parts, pa.int64()), *(pa.array(list(x), pa.int64()) for x in (list(zip(*keys, strict=True)) or [[]] * 3))], names=["doc_id", "text", "h", "part", "k0", "k1", "k2"])
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True)) or [[] for _ in names]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = _Packer(TaskContext.get().partitionId() << 32)
-        held: list[tuple[int | None, str]] = []
-        chars = 0
-
-        def shard() -> None:
-            ids = [token_ids(t, tokenizer_path) for _, t in held]
-            for k, seed in reading_order([t.encode() for _, t in held], [len(x) for x in ids], packer.at):
+        packer = None
+        held: list[tuple[int | None, bytes]] = []
+        size, part = 0, None
+
+        def shard() -> pa.RecordBatch:
+            nonlocal size
+            ids = [token_ids(t.decode("utf-8", "replace"), tokenizer_path) for _, t in held]
+            for k, seed in reading_order([t for _, t in held], [len(x) for x in ids], packer.at, counts=shared.value):
                 packer.add(held[k][0], ids[k], held[seed][0])
+            held.clear()
+            size = 0
+            rows, packer.rows = packer.rows, []
+            return table(rows)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.append((doc, text or ""))
-                chars += len(held[-1][1])
-                if len(held) >= SHARD_DOCS or chars >= SHARD_CHARS:
-                    shard()
-                    held.clear()
-                    chars = 0
-                    yield table(packer.rows)
-                    packer.rows = []
-        shard()
-        packer.finish()
-        yield table(packer.rows)
-
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = narrow.withColumn("h", F.xxhash64("doc_id", "text", F.spark_partition_id())).repartition("h").sortWithinPartitions("h", "doc_id")
-    return dealt.select("doc_id", "text").mapInArrow(pack, SCHEMA)
+            for of, doc, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if of != part:
+                    if packer:
+                        yield shard()
+                        packer.finish()
+                        yield table(packer.rows)
+                    packer, part = _Packer(of << 32), of
+                held.append((doc, text or b""))
+                size += len(held[-1][1])
+                if len(held) >= SHARD_DOCS or size >= SHARD_CHARS:
+                    yield shard()
+        if packer:
+            yield shard()
+            packer.finish()
+            yield table(packer.rows)
+
+    keyed = narrow.withColumn("h", F.xxhash64("doc_id", "text")).mapInArrow(placed, "doc_id long, text binary, h long, part long, k0 long, k1 long, k2 long")
+    return keyed.repartition("part").sortWithinPartitions("part", "k0", "k1", "k2", "h", "doc_id").select("part", "doc_id", "text").mapInArrow(pack, SCHEMA)

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -11,7 +12,6 @@ from tokenizers import Tokenizer
 from corelens.llm import packing
 
 REFERENCE = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-REFERENCE.encode_special_tokens = True
 
 
 @settings(max_examples=300, deadline=None)
@@ -20,8 +20,11 @@ def test_same_ids(text):
     assert packing.token_ids(text).tolist() == [*REFERENCE.encode(text, add_special_tokens=False).ids, 0]
 
 
-def test_special_strings_are_text():
-    assert 50256 not in packing.token_ids("a <|endoftext|> b")
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "a", " ", "<|", "endoftext", "|>", "é\n"]), max_size=12))
+def test_special_strings_are_those_of_the_library(parts):
+    text = "".join(parts)
+    assert packing.token_ids(text).tolist() == [*REFERENCE.encode(text, add_special_tokens=False).ids, 0]
 
 
 def _check(rows, texts):
@@ -59,6 +62,31 @@ def test_round_trip(spark):
         assert at == len(ids[k])
 
 
+@pytest.mark.parametrize("partitions", [1, 64, 211])
+def test_ids_do_not_depend_on_partitions(spark, partitions):
+    """Sequences stay whole, and the same, without adaptive execution and whatever coalesces the result."""
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(300)]
+    texts = {k: " ".join(rng.choices(vocabulary, k=rng.choice([1, 50, 300]))) for k in range(600)}
+    texts |= {k: "the same copy" for k in range(600, 900)} | {900: None, 901: "word" * 300_000}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(7, "doc_id")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        rows = packing.packed(df, part_bytes=20_000).coalesce(3).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    _check(rows, texts)
+    assert len({r.sequence_id >> 32 for r in rows}) > 10
+    found = sorted((r.sequence_id, r.offset, r.doc_id, r.start) for r in rows)
+    assert _seen.setdefault("rows", found) == found
+
+
+_seen = {}
+
+
 def test_repeated_rows_null_ids_and_empty(spark):
     df = spark.createDataFrame([(1, "same text"), (1, "same text"), (None, "no id")], "doc_id long, text string")
     rows = packing.packed(df).collect()
@@ -104,3 +132,62 @@ def test_long_texts_are_scored_by_all_words():
         assert len(shared) > 100 or seed >= 30
         want = [sum(np.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * len(ws) / mean)) for w in shared) for ws, c in zip(words, counts)]
         assert np.allclose(index.scores(seed), want)
+
+
+def _greedy(texts, sizes, filled):
+    """The fill order by definition: BM25 over all pairs, the best unused neighbour of the window's seed, ties by position."""
+    words = [t.split() for t in texts]
+    n, mean = len(texts), max(1.0, sum(map(len, words)) / len(texts))
+    df = collections.Counter(w for ws in words for w in set(ws))
+
+    def score(a, b):
+        out = 0.0
+        for w in set(words[a]):
+            tf = words[b].count(w)
+            if tf and df[w] > 1:
+                out += np.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(words[b]) / mean))
+        return round(out, 9)
+
+    order, seed, at = [], None, filled % 1024
+    unused = list(range(n))
+    while unused:
+        best = max(unused, key=lambda k: (score(seed, k), -k)) if seed is not None else unused[0]
+        if seed is not None and not score(seed, best):
+            best = unused[0]
+        unused.remove(best)
+        order.append(best)
+        before, at = seed, at + sizes[best]
+        if before is None or at >= 1024:
+            seed, at = best, at % 1024
+    return order
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_fill_order_matches_brute_force(seed):
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choices("abcdef", k=4)) for _ in range(60)]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.choice([0, 3, 20]))) for _ in range(40)]
+    sizes = [rng.choice([1, 100, 700, 1024, 3000]) for _ in texts]
+    got = packing.reading_order([t.encode() for t in texts], sizes, 17)
+    assert [k for k, _ in got] == _greedy(texts, sizes, 17)
+
+
+def test_parts():
+    weights = np.array([0, 5, 3, 0, 50, 1, 9, 10, 2])
+    first, parts = packing.parts_of(weights, 10)
+    assert parts.tolist() == [1, 1, 1, 1, 5, 1, 1, 1, 1]
+    assert [(k, int(first[k])) for k in np.flatnonzero(weights)] == [(1, 0), (2, 0), (4, 1), (5, 6), (6, 6), (7, 7), (8, 8)]
+
+
+def test_related_documents_share_a_part():
+    rng = random.Random(2)
+    topics = [["".join(rng.choices("abcdefghijkl", k=7)) for _ in range(40)] for _ in range(50)]
+    texts = [" ".join(rng.choices(topics[k % 50], k=150)) for k in range(2000)]
+    keys = [packing.lexical_keys(np.unique(packing.word_hashes(t.encode()))) for t in texts]
+    order = sorted(range(2000), key=lambda k: keys[k])
+    assert np.mean([a % 50 == b % 50 for a, b in zip(order, order[1:])]) > 0.8  # by chance 0.02
+
+
+def test_long_text_without_white_space(spark):
+    texts = {1: "x" * 200_000, 2: "é" * 70_000}
+    _check(packing.packed(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect(), texts)
