@@ -45,5 +45,34 @@ def test_columns(spark):
         payload = media.padded(texts[r.doc_id])
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(texts[r.doc_id]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert (r.media_bytes, r.media_sha256) == (len(r.media), hashlib.sha256(r.media).hexdigest()) and "continuity_errors=0" in r.feature
-    assert len(rows) == 5 and len({tuple(r)[1:] for r in rows}) == 3
+        assert r.pts == [k * media.TICKS for k in range(-(-len(payload) // media.UNIT))] and [p.pts for p in r.access_points] == r.pts[:: media.RAP_EVERY]
+        for p in r.access_points:  # the stream can be read from the tables before each of them
+            assert media.demux(r.media[(p.packet - 2) * 188 :]).stamps[0] == p.pts
+    assert len(rows) == 5 and len({repr(tuple(r)[1:]) for r in rows}) == 3
     assert media.media_columns(df.limit(0)).collect() == []
+
+
+def test_units_with_a_lost_packet_are_left_out():
+    payload = bytes(range(256)) * 400
+    rows = np.frombuffer(media.mux(payload), np.uint8).reshape(-1, 188)
+    starts = [k for k in range(len(rows)) if rows[k, 1] & 0x40 and (int(rows[k, 1]) & 0x1F) << 8 | int(rows[k, 2]) == media.ES_PID]
+    found = media.demux(np.delete(rows, starts[2] + 3, axis=0).tobytes())
+    assert (found.continuity_errors, found.lost_units) == (1, 1)
+    assert found.payload == payload[: 2 * media.UNIT] + payload[3 * media.UNIT :] and found.stamps == [k * media.TICKS for k in range(7) if k != 2]
+    twice = media.demux(np.repeat(rows, [2 if k == starts[1] else 1 for k in range(len(rows))], axis=0).tobytes())
+    assert twice.payload == payload and twice.continuity_errors == 0
+
+
+def test_several_programs_and_long_sections():
+    """Two programs interleaved; the second one's PMT needs several packets."""
+    a, b = media.padded(b"first " * 9_000), media.padded(b"second " * 8_000)
+    streams = []
+    for payload, pid in ((a, 0x0100), (b, 0x0200)):
+        rows = np.frombuffer(media.mux(payload), np.uint8).reshape(-1, 188).copy()
+        rows = rows[((rows[:, 1].astype(int) & 0x1F) << 8 | rows[:, 2]) == media.ES_PID]
+        rows[:, 1], rows[:, 2] = rows[:, 1] & 0xE0 | pid >> 8, pid & 0xFF
+        streams.append([r.tobytes() for r in rows])
+    tables = media.section_packets(0, media.pat({0: 0x10, 1: 0x1000, 7: 0x1001}), 0) + media.section_packets(0x1000, media.pmt(1, 0x0100), 0) + media.section_packets(0x1001, media.pmt(7, 0x0200, bytes(range(250)) * 3), 0)
+    mixed = b"".join(x for pair in zip(*streams) for x in pair) + b"".join(x for s in streams for x in s[min(map(len, streams)) :])
+    assert media.demux(tables + mixed).payload == a
+    assert media.demux(tables + mixed, 7).payload == b
