@@ -1,10 +1,12 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text. Template T matches block B if |T and B| >= threshold * |T| over their word sets. Words are ordered
-by how many blocks of the whole corpus hold them, rarest first. With o = ceil(threshold * |T|), a match shares one of the
+A block is a line of a text, or a run of up to WIDTH times as many words as the template has, wherever lines break: a notice wrapped in a comment's lines is one block.
+Template T matches block B if |T and B| >= threshold * |T| over their word sets. Words are ordered
+by how many lines of the whole corpus hold them, rarest first. With o = ceil(threshold * |T|), a match shares one of the
 first |T| - o + 1 words of T (prefix filter), needs o words of the join's vocabulary in B (length filter), and from a first
 common word at position i of B and j of T at most 1 + min(|B| - i - 1, |T| - j - 1) words can follow (positional filter).
-What passes is verified exactly, so the result is that of the full join.
+A text whose own word set doesn't match T has no block that does, so these filters first run on whole texts; the blocks of a text that passes are verified exactly,
+runs by a window that slides over the template's words. The result is that of the full join.
 
 Templates are parameters of the job, so their index is of bounded size and goes to every task; documents are read twice,
 once to count words of the templates' vocabulary and once to match, and only the counts are shuffled.
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from corelens.session import bounded_batches
 
 CONTAINMENT = 0.8
+#: Words of a run for each word of the template.
+WIDTH = 1.25
 
 #: Phrases and labels of the base scan.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -65,8 +69,9 @@ class ContainmentIndex:
     """Prefix index of templates under one global order of words."""
 
     def __init__(self, templates: dict[str, list[str]], frequency: dict[bytes, int], threshold: float = CONTAINMENT):
-        sets = [(label, frozenset(fold(t.encode()).split())) for label, texts in sorted(templates.items()) for t in texts]
-        self.sets = [(label, words) for label, words in sets if words]
+        words_of = [(label, fold(t.encode()).split()) for label, texts in sorted(templates.items()) for t in texts]
+        self.sets = [(label, frozenset(words)) for label, words in words_of if words]
+        self.width = [int(WIDTH * len(words)) for _, words in words_of if words]
         self.vocabulary = vocabulary(templates)
         self.rank = {w: k for k, w in enumerate(sorted(self.vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
         self.needed = [max(1, math.ceil(threshold * len(words) - 1e-9)) for _, words in self.sets]
@@ -76,8 +81,8 @@ class ContainmentIndex:
             for j, word in enumerate(sorted(words, key=self.rank.__getitem__)[: len(words) - self.needed[k] + 1]):
                 self.prefix.setdefault(word, []).append((k, j))
 
-    def matches(self, found: frozenset[bytes]) -> list[tuple[str, float]]:
-        """(label, containment) of every template that a block with these words of the vocabulary contains."""
+    def candidates(self, found: frozenset[bytes]) -> list[tuple[int, int]]:
+        """(template's number, common words) of every template that a block with these words of the vocabulary contains."""
         if not self.sets or len(found) < self.least:
             return []
         block = sorted(found, key=self.rank.__getitem__)
@@ -85,12 +90,44 @@ class ContainmentIndex:
         out = []
         for i, word in enumerate(block):
             for k, j in self.prefix.get(word, ()):
-                label, words = self.sets[k]
+                _, words = self.sets[k]
                 if k in tried or len(block) < self.needed[k]:
                     continue
                 tried.add(k)  # i, j is the first common word
                 if 1 + min(len(block) - i - 1, len(words) - j - 1) >= self.needed[k] and (common := len(words & found)) >= self.needed[k]:
-                    out.append((label, common / len(words)))
+                    out.append((k, common))
+        return out
+
+    def matches(self, found: frozenset[bytes]) -> list[tuple[str, float]]:
+        """(label, containment) of every template that a block with these words of the vocabulary contains."""
+        return [(self.sets[k][0], common / len(self.sets[k][1])) for k, common in self.candidates(found)]
+
+    def runs(self, k: int, words: list[bytes]) -> int:
+        """The most different words of template k in a run of the words of a text."""
+        own, width = self.sets[k][1], self.width[k]
+        held: Counter[bytes] = Counter()
+        places = [(i, w) for i, w in enumerate(words) if w in own]
+        best = first = 0
+        for i, w in places:
+            held[w] += 1
+            while i - places[first][0] >= width:
+                gone = places[first][1]
+                held[gone] -= 1
+                if not held[gone]:
+                    del held[gone]
+                first += 1
+            best = max(best, len(held))
+        return best
+
+    def blocks(self, folded: bytes, words: list[bytes], present: frozenset[bytes]) -> list[tuple[str, float]]:
+        """(label, containment) of the matches of a text's blocks."""
+        tried = self.candidates(present & self.vocabulary)
+        if not tried:
+            return []
+        out = [x for line in folded.split(b"\n") for x in self.matches(self.vocabulary.intersection(line.split()))]
+        for k, _ in tried:
+            if (common := self.runs(k, words)) >= self.needed[k]:
+                out.append((self.sets[k][0], common / len(self.sets[k][1])))
         return out
 
 
@@ -141,18 +178,16 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, t
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 folded = fold(text or b"")
                 words = folded.split()
-                present = watched.intersection(words)
+                present = frozenset(watched.intersection(words))
                 places: list[int] = []
                 base, labels, score = set(), set(), 0.0
                 for phrase, label in phrases:
                     if present.issuperset(phrase) and (at := phrase_places(words, phrase)):
                         places += at
                         base.add(label)
-                if len(present) >= index.least:
-                    for line in folded.split(b"\n"):
-                        for label, containment in index.matches(own.intersection(line.split())):
-                            labels.add(label)
-                            score = max(score, containment)
+                for label, containment in index.blocks(folded, words, present):
+                    labels.add(label)
+                    score = max(score, containment)
                 rows.append((doc, len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1.0 if base else score))
             columns = list(zip(*rows, strict=True)) or [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
@@ -163,9 +198,10 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, t
 
 
 def oracle() -> str:
-    """The same scan as SQL: every template against every line."""
+    """The same scan as SQL: every template against every line and every run of its width."""
     quoted = lambda words: ", ".join(f"({k}, '{label}', '{w}')" for k, label, ws in words for w in sorted(ws))
     templates = [(k, label, fold(t.encode()).decode().split()) for k, (label, t) in enumerate((label, t) for label, ts in TEMPLATES.items() for t in ts)]
+    widths = ", ".join(f"({k}, {int(WIDTH * len(ws))})" for k, _, ws in templates)
     phrases = [(k, label, phrase.split()) for k, (phrase, label) in enumerate(BASE_PHRASES.items())]
     starts = " UNION ALL ".join(
         f"SELECT w0.r, '{label}' AS label, w0.i FROM u AS w0" + "".join(f" JOIN u AS w{j} ON w{j}.r = w0.r AND w{j}.i = w0.i + {j} AND w{j}.word = '{w}'" for j, w in enumerate(ws) if j) + f" WHERE w0.word = '{ws[0]}'"
@@ -181,7 +217,12 @@ t(k, label, word) AS (VALUES {quoted([(k, label, set(ws)) for k, label, ws in te
 size AS (SELECT k, label, count(*) AS n FROM t GROUP BY k, label),
 l AS (SELECT r, unnest(ls) AS line, generate_subscripts(ls, 1) AS j FROM (SELECT r, string_split(text, chr(10)) AS ls FROM d)),
 lw AS (SELECT DISTINCT r, j, unnest(regexp_extract_all(line, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word FROM l),
-hit AS (SELECT r, label, c / n::DOUBLE AS share FROM (SELECT r, j, k, count(*) AS c FROM lw JOIN t USING (word) GROUP BY r, j, k) JOIN size USING (k) WHERE 5 * c >= 4 * n),
+tw AS (SELECT u.r, u.i, k, u.word FROM u JOIN t USING (word)),
+whole AS (SELECT r, k FROM tw JOIN size USING (k) GROUP BY r, k, n HAVING 5 * count(DISTINCT word) >= 4 * n),
+own AS (SELECT tw.*, width FROM tw JOIN whole USING (r, k) JOIN (VALUES {widths}) AS x(k, width) USING (k)),
+run AS (SELECT a.r, a.i, a.k, count(DISTINCT b.word) AS c FROM own AS a JOIN own AS b ON b.r = a.r AND b.k = a.k AND b.i >= a.i AND b.i < a.i + a.width GROUP BY a.r, a.i, a.k),
+block AS (SELECT r, k, count(*) AS c FROM lw JOIN t USING (word) GROUP BY r, j, k UNION ALL SELECT r, k, c FROM run),
+hit AS (SELECT r, label, c / n::DOUBLE AS share FROM block JOIN size USING (k) WHERE 5 * c >= 4 * n),
 best AS (SELECT r, max(share) AS share FROM hit GROUP BY r),
 bl AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT r, label FROM p) GROUP BY r),
 al AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM p UNION SELECT r, label FROM hit) GROUP BY r)

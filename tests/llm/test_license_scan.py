@@ -1,5 +1,6 @@
 import random
 import re
+import textwrap
 
 from corelens.llm import license_scan as ls
 
@@ -19,12 +20,13 @@ def naive(text):
         places += at
         if at:
             base.add(label)
-    for line in _fold(text).split("\n"):
-        block = set(WORD.findall(line))
-        for label, texts in ls.TEMPLATES.items():
-            for t in texts:
-                own = set(WORD.findall(_fold(t)))
-                c = len(own & block) / len(own)
+    lines = [WORD.findall(line) for line in _fold(text).split("\n")]
+    for label, texts in ls.TEMPLATES.items():
+        for t in texts:
+            own = set(WORD.findall(_fold(t)))
+            width = len(WORD.findall(_fold(t))) * 5 // 4
+            for block in lines + [words[i : i + width] for i in range(len(words)) if words[i] in own]:
+                c = len(own & set(block)) / len(own)
                 if c >= 0.8:
                     labels.add(label)
                     score = max(score, c)
@@ -45,6 +47,8 @@ def _texts():
                 out.append("prose before\n" + " ".join(rng.choices(["ou", "éa", "the"], k=8) + kept) + "\nafter")
             half = len(words) // 2
             out.append(" ".join(words[:half]) + "\n" + " ".join(words[half:]))
+            out.append("int x;\n * " + textwrap.fill(t, 40).replace("\n", "\n * ") + "\n */")
+            out.append("\n\n".join(words[:half]) + " filler" * 30 + " ".join(words[half:]))
     out.append("word " * 30_000 + "all rights reserved")
     return out
 
@@ -73,3 +77,22 @@ def test_empty_and_repeated(spark):
     assert ls.license_scan(df.limit(0)).collect() == []
     rows = ls.license_scan(df).collect()
     assert len(rows) == 3 and sum(r.n_base for r in rows) == 2
+
+
+def test_wrapped_notices_are_found(spark):
+    texts = [(k, "# " + textwrap.fill(t, 72).replace("\n", "\n# ")) for k, ts in enumerate(ls.TEMPLATES.values()) for t in ts[-1:]]
+    found = {r.doc_id: r.labels.split(",") for r in ls.license_scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for k, label in enumerate(ls.TEMPLATES):
+        assert label in found[k]
+
+
+def test_sql_agrees(spark):
+    import duckdb
+    import pyarrow as pa
+
+    texts = _texts()
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": list(range(len(texts))), "text": texts}))
+    want = sorted(con.sql(ls.oracle()).fetchall())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(tuple(r) for r in ls.license_scan(df).collect()) == want
