@@ -1,15 +1,15 @@
-"""Language identification: multinomial logistic regression on TF-IDF weights of hashed character n-grams.
+r"""Language identification: multinomial logistic regression on TF-IDF weights of hashed character n-grams.
 
-A text becomes lower-case letters with single blanks in place of anything else; its 1- to 3-grams are hashed to BUCKETS.
+A text becomes lower-case letters and their marks with single blanks in place of anything else; its 1- to 3-grams are hashed to BUCKETS.
 Feature x_b is tf_b * idf_b over the sum of all tf * idf of the text, so any length gives the same scale. Weights are learnt by
 follow-the-regularised-leader with elastic net (L1, L2), one pass over a document at a time, and a temperature fitted on
 one fifth of the sample calibrates the probabilities.
 
 Document frequencies come from every document that may be learnt from. The fit uses a bounded sample of them: at most
-PER_LANGUAGE documents of each language, those with the smallest hash of the id, and at most MAX_LANGUAGES languages
-(the most frequent). Prediction reads every whole text; the table that goes to the tasks has BUCKETS x languages numbers.
+PER_LANGUAGE documents of each language, those with the smallest hash of the id, and of these the FIT_BYTES / languages first bytes of hash lists, at least one document
+of each: every language is learnt, and what reaches the driver is bounded. Prediction reads every whole text; the table that goes to the tasks has BUCKETS x languages numbers.
 
-Defined cases: a null text, or one without a letter, is `und` with score 0; with no training rows every text is; repeated
+Defined cases: a null text, or one without a letter (\p{L}; marks alone are none), is `und` with score 0; with no training rows every text is; repeated
 documents give repeated, equal rows; further columns are ignored.
 """
 
@@ -21,19 +21,21 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corelens.llm.sampling import held_out, smallest_hashes
-from corelens.session import bounded_batches
+from corelens.session import bounded_batches, discard, written
 
 BUCKETS, ORDERS = 1 << 16, (1, 2, 3)
-PER_LANGUAGE, MAX_LANGUAGES, PASSES = 1_000, 200, 4
+PER_LANGUAGE, PASSES = 1_000, 4
+#: Bytes of the sample's n-gram lists that the fit collects.
+FIT_BYTES = 256 << 20
 ALPHA, BETA, L1, L2 = 0.05, 1.0, 1e-4, 1e-4
 SCALE = 20.0
 UNKNOWN = "und"
 
-_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+_OTHER, _LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 #: Odd multipliers of the n-gram hash.
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 #: Code points hashed at a time.
@@ -43,7 +45,7 @@ _BLOCK = 1 << 18
 def buckets_of(text: str | None) -> np.ndarray:
     """The bucket of every n-gram of a text, in no order that matters; empty without a letter."""
     letters = _OTHER.sub(" ", (text or "").lower()).strip()
-    if not letters:
+    if not _LETTER.search(letters):
         return np.empty(0, np.uint32)
     codes = np.frombuffer(f" {letters} ".encode("utf-32-le"), np.uint32)
     out, value = [], np.zeros(len(codes), np.uint32)
@@ -147,10 +149,9 @@ def train(docs: DataFrame) -> LanguageModel:
     """The model learnt from documents with a language that aren't held out."""
     bounded_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    frequent = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
     df, total = _document_frequencies(known.select("text"))
     idf = np.log((1 + total) / (1 + df)) + 1
-    chosen = smallest_hashes(known.where(F.col("lang").isin(frequent)).select("doc_id", "lang").distinct(), "doc_id", "lang", PER_LANGUAGE)
+    chosen = smallest_hashes(known.select("doc_id", "lang").distinct(), "doc_id", "lang", PER_LANGUAGE)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +161,12 @@ def train(docs: DataFrame) -> LanguageModel:
             )
 
     sampled = known.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "text").mapInArrow(counted, "doc_id long, lang string, buckets binary, counts binary")
-    rows = sorted((r["doc_id"], r["lang"], bytes(r["buckets"]), bytes(r["counts"])) for r in sampled.collect())
+    sampled = written(sampled, "sample")
+    share = FIT_BYTES // max(1, sampled.select("lang").distinct().count())
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "buckets")
+    bounded = sampled.withColumn("before", F.sum(F.octet_length("buckets") + F.octet_length("counts")).over(first.rowsBetween(Window.unboundedPreceding, -1))).where(F.coalesce("before", F.lit(0)) < share)
+    rows = sorted((r["doc_id"], r["lang"], bytes(r["buckets"]), bytes(r["counts"])) for r in bounded.drop("before").collect())
+    discard(sampled)
     return fit([(np.frombuffer(b, "<u2").astype(np.int64), np.frombuffer(c, "<u4").astype(float), lang) for _, lang, b, c in rows], idf)
 
 

@@ -66,3 +66,18 @@ def test_empty_and_unlabelled(spark):
     df, _ = _docs(spark, 20)
     assert lid.language_id(df.limit(0)).collect() == []
     assert {(r.lang_pred, r.score) for r in lid.language_id(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {("und", 0.0)}
+
+
+def test_marks_alone_are_undetermined(spark):
+    df, _ = _docs(spark)
+    model = lid.train(df)
+    assert [model.predict(t)[0] for t in ("\u0301", "\u0301 \u0308!", "der schung\u0308")] == ["und", "und", "de"]
+
+
+def test_every_language_is_learnt(spark, monkeypatch):
+    """Rare languages, and a collected sample below one text's size for each of them."""
+    rows = [(k, " ".join([f"{chr(0x4E00 + 20 * (k % 240))}{chr(0x4E00 + 20 * (k % 240) + k % 7)}"] * 9), f"l{k % 240:03}") for k in range(2400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(lid.train(df).languages) == 240
+    monkeypatch.setattr(lid, "FIT_BYTES", 240)
+    assert len(lid.train(df).languages) == 240
