@@ -2,9 +2,9 @@
 
 Features are words and word stems (their first 4 to 7 letters). Each has two weights, one for its presence and one for its rate, RATE times the
 occurrences over the words plus SMOOTH: some words tell by standing anywhere, others by standing often. The model keeps the MAX_FEATURES that speak for label 1 most clearly
-(likelihood ratio of texts with and without them, counted on the executors). Every labelled text that names an identity term also enters as counterfactuals - each term
-swapped for another of its group, and each term left out - and the loss adds LAMBDA times the squared change of the
-logit, so a neutral mention of a group doesn't raise the score.
+(likelihood ratio of texts with and without them, counted on the executors). Every sentence of a labelled text that names an identity term also enters as counterfactuals - each term
+swapped for every other of its group, and each term left out - and the loss adds LAMBDA times the mean squared change of the
+sentence's logit, so a neutral mention of a group doesn't raise the score. Labels are those of whole documents; a sentence has its document's.
 
 The fit uses a bounded sample: at most PER_CLASS[label] labelled rows of either label, those with the smallest hash
 of the id, never a held-out row. Scoring reads every whole text; the model that goes to the tasks has MAX_FEATURES weights at most.
@@ -37,7 +37,7 @@ RATE, SMOOTH = 50.0, 30
 SAMPLE_PARTS = 12
 LAMBDA, RIDGE, ROUNDS, THRESHOLD = 4.0, 1e-4, 600, 0.3
 
-#: Identity terms by group.
+#: Identity terms by group, in English, German, French and Spanish. A term stands in one group.
 IDENTITY = (
     ("women", "men", "girls", "boys", "transgender"),
     ("woman", "man", "girl", "boy"),
@@ -47,9 +47,30 @@ IDENTITY = (
     ("gay", "straight", "lesbian", "bisexual", "queer"),
     ("immigrant", "native", "refugee", "foreigner"),
     ("disabled", "blind", "deaf"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("frau", "mann"),
+    ("muslime", "christen", "juden", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "afrikaner", "europäer"),
+    ("schwul", "lesbisch", "bisexuell", "heterosexuell"),
+    ("einwanderer", "flüchtlinge", "ausländer", "einheimische"),
+    ("behinderte", "blinde", "gehörlose"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("femme", "homme", "fille", "garçon"),
+    ("musulmans", "chrétiens", "juifs", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "africains", "européens"),
+    ("homosexuels", "hétérosexuels", "lesbiennes", "bisexuels"),
+    ("immigrés", "réfugiés", "étrangers"),
+    ("handicapés", "aveugles", "sourds"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("mujer", "hombre", "niña", "niño"),
+    ("musulmanes", "cristianos", "judíos", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "africanos", "europeos"),
+    ("homosexuales", "heterosexuales", "lesbianas", "bisexuales"),
+    ("inmigrantes", "refugiados", "extranjeros"),
+    ("discapacitados", "ciegos", "sordos"),
 )
 _GROUP = {t: g for g in IDENTITY for t in g}
-_WORD = regex.compile(r"[\p{L}\p{M}]+")
+_WORD, _SENTENCE = regex.compile(r"[\p{L}\p{M}]+"), regex.compile(r"[^.!?\n]+")
 
 
 def words_of(text: str | None) -> Counter[str]:
@@ -92,33 +113,42 @@ class ToxicityModel:
 
 
 def counterfactuals(words: Counter[str]) -> list[Counter[str]]:
-    """For each identity term in words: the words with that term swapped for the next of its group, and without it."""
+    """For each identity term in words: the words with that term swapped for every other of its group, and without it."""
     out = []
     for term in sorted(words.keys() & _GROUP.keys()):
-        group = _GROUP[term]
         rest = Counter({w: k for w, k in words.items() if w != term})
-        swapped = rest.copy()
-        swapped[group[(group.index(term) + 1) % len(group)]] += words[term]
-        out += [swapped, rest]
+        for other in _GROUP[term]:
+            if other != term:
+                swapped = rest.copy()
+                swapped[other] += words[term]
+                out.append(swapped)
+        out.append(rest)
     return out
 
 
+def sentence_pairs(text: str | None) -> list[tuple[Counter[str], Counter[str]]]:
+    """(words, words of a counterfactual) of every sentence that names an identity term."""
+    if not words_of(text).keys() & _GROUP.keys():
+        return []
+    sentences = [words_of(x) for x in _SENTENCE.findall(text)]
+    return [(words, other) for words in sentences for other in counterfactuals(words)]
+
+
 @dataclass
 class Example:
-    """A labelled text as numbers of selected features and their rates; changed: the same for pairs of the text and a counterfactual."""
+    """A labelled text as numbers of selected features and their rates; changed: the same for pairs of a sentence and a counterfactual."""
 
     label: int
     features: tuple[list[int], list[float]]
     changed: list[tuple] = field(default_factory=list)
 
 
-def example_of(words: Counter[str], label: int, place: dict[str, int]) -> Example:
+def example_of(text: str | None, label: int, place: dict[str, int]) -> Example:
     def numbered(w: Counter[str]) -> tuple[list[int], list[float]]:
         found = sorted((place[f], x) for f, x in rates(w, place).items())
         return [i for i, _ in found], [x for _, x in found]
 
-    own = numbered(words)
-    return Example(label, own, [(own, numbered(x)) for x in counterfactuals(words)])
+    return Example(label, numbered(words_of(text)), [(numbered(a), numbered(b)) for a, b in sentence_pairs(text)])
 
 
 def fit(examples: list[Example], features: list[str]) -> ToxicityModel:
@@ -199,8 +229,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] = PER_CL
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [example_of(words_of(t), label, place) for label, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            flat = [[x.features, *(b for _, b in x.changed)] for x in found]
+            found = [example_of(t, label, place) for label, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            flat = [[x.features, *(half for pair in x.changed for half in pair)] for x in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([[i for i, _ in x] for x in flat], pa.list_(pa.list_(pa.int32()))), pa.array([[v for _, v in x] for x in flat], pa.list_(pa.list_(pa.float64())))], names=["doc_id", "label", "ids", "rates"]
             )
@@ -209,7 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] = PER_CL
     examples = []
     for r in sorted(rows, key=lambda r: r["doc_id"]):
         own, *others = zip(r["ids"], r["rates"], strict=True)
-        examples.append(Example(r["label"], own, [(own, x) for x in others]))
+        examples.append(Example(r["label"], own, list(zip(others[::2], others[1::2], strict=True))))
     discard(sample)
     return fit(examples, features)
 

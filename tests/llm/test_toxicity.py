@@ -71,3 +71,11 @@ def test_without_toxic_keeps_columns(spark):
     assert kept.columns == docs.columns
     assert kept.where("text like '%hateful%'").count() == 0
     assert kept.where("doc_id = 9001 or doc_id = 9002").count() == 2
+
+
+def test_sentences_are_swapped():
+    pairs = toxicity.sentence_pairs("Plain words. The women met.\nUne femme lit! nobody")
+    assert {tuple(sorted(a)) for a, _ in pairs} == {("met", "the", "women"), ("femme", "lit", "une")}
+    assert [tuple(sorted(b)) for a, b in pairs if "met" in a] == [("men", "met", "the"), ("girls", "met", "the"), ("boys", "met", "the"), ("met", "the", "transgender"), ("met", "the")]
+    assert sum("femme" in a for a, _ in pairs) == 4 and toxicity.sentence_pairs(None) == toxicity.sentence_pairs("no term") == []
+    assert len(toxicity._GROUP) == sum(map(len, toxicity.IDENTITY))
