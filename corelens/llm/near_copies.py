@@ -1,7 +1,8 @@
 """Near copies: texts whose sets of SHINGLE-word shingles have a Jaccard similarity of SIMILARITY or more.
 
-A SimHash ball of 3 bits holds few such pairs (at 0.8 two fingerprints differ in about 10 of 64 bits), so candidates are found by
-MinHash: BANDS keys of ROWS minima each, and texts that share a key are compared. A pair of similarity s shares none with probability
+Candidates come from SimHash balls (`simhash.fingerprint_links` over fingerprints of the same shingles). A ball of 3 bits holds few of the pairs wanted: at 0.8 two
+fingerprints differ in about 10 of 64 bits, and a ball of 16 bits, which would hold them, has billions of variants within half its radius.
+What the balls can't reach is found by MinHash: BANDS keys of ROWS minima each, and texts that share a key are compared. A pair of similarity s shares none with probability
 (1 - s**ROWS)**BANDS: 3e-6 at 0.8, less above. What is linked is verified by the Jaccard similarity of the whole texts.
 
 Comparing all pairs of a crowd isn't needed to connect it. First every text of a bucket is compared with the bucket's smallest. Buckets
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corelens.llm.simhash import shingle_hashes
+from corelens.llm.simhash import fingerprint_links, fingerprint_of, shingle_hashes
 from corelens.operators.components import linked_components
 from corelens.session import bounded_batches, written
 
@@ -33,15 +34,15 @@ SKETCH_EQUAL = 96
 _FACTORS = np.random.default_rng(5).integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signature(text: bytes | None) -> tuple[np.ndarray, bytes]:
-    """Keys of the bands and the sketch."""
+def signature(text: bytes | None) -> tuple[np.ndarray, bytes, int]:
+    """Keys of the bands, the sketch and the SimHash fingerprint."""
     values = shingle_hashes(text, SHINGLE)
     least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
     for at in range(0, len(values), 1024):
         least = np.minimum(least, (_FACTORS[:, None] * values[None, at : at + 1024]).min(axis=1))
     rows = least.reshape(BANDS, ROWS)
     keys = np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(rows)], np.uint64)
-    return keys.view(np.int64), (least >> np.uint64(16)).astype(np.uint8).tobytes()
+    return keys.view(np.int64), (least >> np.uint64(16)).astype(np.uint8).tobytes(), fingerprint_of(values)
 
 
 def similarity(a: bytes | None, b: bytes | None) -> float:
@@ -54,10 +55,11 @@ def similarity(a: bytes | None, b: bytes | None) -> float:
 def _signatures(docs: DataFrame) -> DataFrame:
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [signature(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k.tolist() for k, _ in both], pa.list_(pa.int64())), pa.array([s for _, s in both], pa.binary())], names=["h", "keys", "sketch"])
+            all_ = [signature(t) for t in batch.column(1).to_pylist()]
+            prints = np.array([fp for _, _, fp in all_], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k.tolist() for k, _, _ in all_], pa.list_(pa.int64())), pa.array([s for _, s, _ in all_], pa.binary()), pa.array(prints)], names=["h", "keys", "sketch", "fp"])
 
-    return docs.select(F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text")).mapInArrow(signed, "h long, keys array<long>, sketch binary")
+    return docs.select(F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text")).mapInArrow(signed, "h long, keys array<long>, sketch binary, fp long")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -105,6 +107,13 @@ def _across(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").select("key", "h", "c", "sketch").mapInArrow(met, "a long, b long").distinct()
 
 
+def _in_balls(signed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of text hashes by SimHash: texts of one fingerprint with its smallest, and fingerprints whose balls meet by their smallest texts."""
+    distinct = written(signed.groupBy("fp").agg(F.min("h").alias("rep")), "distinct")
+    same = signed.join(distinct, "fp").where("h <> rep").select(F.col("rep").alias("a"), F.col("h").alias("b"))
+    return same.unionByName(fingerprint_links(distinct))
+
+
 def components(docs: DataFrame) -> DataFrame:
     """(vertex, component) of the hash of every text that has a near copy with a smaller one."""
     bounded_batches(docs.sparkSession)
@@ -112,7 +121,8 @@ def components(docs: DataFrame) -> DataFrame:
     rows = signed.select("h", F.explode("keys").alias("key"))
     centres = rows.groupBy("key").agg(F.min("h").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = written(rows.join(centres, "key"), "buckets")
-    near = _verified(docs, buckets.where("h <> centre").select(F.col("centre").alias("a"), F.col("h").alias("b")).distinct())
+    met = buckets.where("h <> centre").select(F.col("centre").alias("a"), F.col("h").alias("b")).unionByName(_in_balls(signed))
+    near = _verified(docs, met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     names = written(linked_components(near), "names")
     labelled = buckets.select("key", "h").join(names.select(F.col("vertex").alias("h"), "component"), "h", "left").select("key", "h", F.coalesce("component", "h").alias("c"))
     split = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low < high and n > 2").select("key")

@@ -57,9 +57,8 @@ def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
     return np.array(hashes, "<u8")
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """Fingerprint of a UTF-8 text: bit b is set if more than half of its shingles' XXH64 values have it set."""
-    values = shingle_hashes(text, shingle)
+def fingerprint_of(values: np.ndarray) -> int:
+    """Bit b is set if more than half of the values have it set."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(values), 4096):
         part = values[at : at + 4096].view(np.uint8).reshape(-1, 8)
@@ -67,6 +66,11 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return sum(1 << b for b in range(64) if 2 * ones[b] > len(values))
 
 
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """Fingerprint of a UTF-8 text from the XXH64 values of its shingles."""
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, h, fp) of every row; h is a hash of the text as it is, fp the fingerprint as a signed long."""
     bounded_batches(docs.sparkSession)

@@ -79,3 +79,23 @@ def test_a_row_without_id_bridges(spark):
             break
     docs = spark.createDataFrame([(1, a), (None, b), (2, c)], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == {1: 1, None: 1, 2: 1}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_with_null_and_repeated_ids(spark, monkeypatch, seed):
+    """Rows of one id with several texts don't fuse them; rows without an id link like any other."""
+    rng = random.Random(seed)
+    values = [rng.getrandbits(64) for _ in range(12)]
+    for base in values[:]:
+        for _ in range(4):
+            values.append(rng.choice(values[-4:] + [base]) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 4))))
+    rows = [(rng.choice([None, *range(30)]), x) for x in values + values[:10]]
+    prints = spark.createDataFrame([(k, 0, _signed(x)) for k, x in rows], "doc_id long, h long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: docs)
+    of = _naive([(x, x) for x in sorted(set(values))])
+    least = {}
+    for k, x in rows:
+        if k is not None:
+            least[of[x]] = min(k, least.get(of[x], k))
+    got = sorted(((r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash._grouped(prints).collect()), key=repr)
+    assert got == sorted(((k, x, least.get(of[x])) for k, x in rows), key=repr)
