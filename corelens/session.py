@@ -6,26 +6,34 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch. Texts can be long, so Spark's default of 10,000 rows could need gigabytes.
-ARROW_ROWS = 512
+#: Rows and bytes of an Arrow batch. Texts can be long, so Spark's default of 10,000 rows could need gigabytes.
+ARROW_ROWS, ARROW_BYTES = 512, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Lower the rows of an Arrow batch to at most `rows`; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS, size: int = ARROW_BYTES) -> None:
+    """Lower the rows and bytes of an Arrow batch to at most `rows` and `size`, whichever comes first; smaller settings stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = _bytes(spark.conf.get(key))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
+def _bytes(setting: str) -> int:
+    """A setting such as 4194304, 64MB or -1 as a number."""
+    number = setting.strip().lower().rstrip("b")
+    return int(number[:-1]) << {"k": 10, "m": 20, "g": 30}[number[-1]] if number[-1:] in ("k", "m", "g") else int(number)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where unset (tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where unset in local mode one of our own; a cluster must name it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that driver and executors share")
         found = f"file:///tmp/corelens-{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
