@@ -14,6 +14,8 @@ from corelens.session import few_files, table, written
 
 #: Documents of a file that a stage writes, at least.
 DOCS_PER_FILE = 5_000
+#: A passage goes if it repeats and has this many words; it's sought by repeated strings of so many bytes (50 words of under four letters).
+PASSAGE_WORDS, PASSAGE_BYTES = 50, 200
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -36,13 +38,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the byte strings that repeat across them."""
-    return _filed(_recounted(suffix_dedup.dedup_documents(docs)), docs)
+    """Documents without the passages of PASSAGE_WORDS words that repeat across them; shorter repeats, such as common lines, stay."""
+    return _filed(_recounted(suffix_dedup.dedup_documents(docs, PASSAGE_BYTES, PASSAGE_WORDS)), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    return _filed(_recounted(mixing.mix_documents(docs)), docs)
+    return _filed(_recounted(mixing.mix_documents(docs, ordered=False)), docs)  # packing orders them anew
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
