@@ -5,7 +5,8 @@ fingerprints differ in about 10 of 64 bits, and a ball of 16 bits, which would h
 What the balls can't reach is found by MinHash: BANDS keys of ROWS minima each, and texts that share a key are compared. A pair of similarity s shares none with probability
 (1 - s**ROWS)**BANDS: 3e-6 at 0.8, less above. What is linked is verified by the Jaccard similarity of the whole texts.
 
-Comparing all pairs of a crowd isn't needed to connect it. First every text of a bucket is compared with the bucket's smallest. Buckets
+Comparing all pairs of a crowd isn't needed to connect it. First every text is compared with the smallest that a ball or bucket offers it, then, where that leaves
+the two in different components, with the smallest of each of its other buckets and balls. Buckets
 that this leaves in more than one component are then compared pair by pair across components, where sketches (a byte of each minimum) sort
 out pairs far below SIMILARITY; all others are verified. So whatever shares a key is in one component or has been compared.
 
@@ -114,6 +115,13 @@ def _in_balls(signed: DataFrame) -> DataFrame:
     return same.unionByName(fingerprint_links(distinct))
 
 
+def _apart(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose components differ."""
+    of = lambda side: names.select(F.col("vertex").alias(side), F.col("component").alias(f"of_{side}"))
+    joined = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return joined.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+
 def components(docs: DataFrame) -> DataFrame:
     """(vertex, component) of the hash of every text that has a near copy with a smaller one."""
     bounded_batches(docs.sparkSession)
@@ -122,7 +130,11 @@ def components(docs: DataFrame) -> DataFrame:
     centres = rows.groupBy("key").agg(F.min("h").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = written(rows.join(centres, "key"), "buckets")
     met = buckets.where("h <> centre").select(F.col("centre").alias("a"), F.col("h").alias("b")).unionByName(_in_balls(signed))
-    near = _verified(docs, met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    offered = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "offered")
+    first = offered.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    near = _verified(docs, first)
+    others = _apart(offered.join(first, ["a", "b"], "left_anti"), written(linked_components(near), "names"))
+    near = near.unionByName(_verified(docs, others))
     names = written(linked_components(near), "names")
     labelled = buckets.select("key", "h").join(names.select(F.col("vertex").alias("h"), "component"), "h", "left").select("key", "h", F.coalesce("component", "h").alias("c"))
     split = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low < high and n > 2").select("key")
