@@ -68,14 +68,14 @@ def word_hashes(text: bytes) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, words), np.int64, len(words))
 
 
-def lexical_keys(distinct: np.ndarray) -> list[int]:
-    """Min-hashes of a document's distinct word hashes, 63 bits each; zeros without words."""
-    if not len(distinct):
+def lexical_keys(hashes: np.ndarray) -> list[int]:
+    """Min-hashes of a document's word hashes, 63 bits each; zeros without words."""
+    if not len(hashes):
         return [0] * len(_FACTORS)
-    x = distinct.astype(np.uint64)
+    x = hashes.astype(np.uint64)
     x = (x ^ x >> np.uint64(15)) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(32)
-    return ((x[None, :] * _FACTORS[:, None]).min(axis=1) >> np.uint64(1)).tolist()
+    return [int((x * f).min() >> np.uint64(1)) for f in _FACTORS]
 
 
 def bucket_of(keys: list[int]) -> int:
@@ -120,9 +120,8 @@ def corpus_counts(narrow: DataFrame, part_bytes: int = PART_BYTES) -> CorpusCoun
             for text in batch.column(1).to_pylist():
                 text = text or b""
                 hashes = word_hashes(text)
-                distinct = np.unique(hashes)
-                n[np.unique(distinct % WORD_BUCKETS)] += 1
-                n[WORD_BUCKETS + bucket_of(lexical_keys(distinct))] += len(text) + ROW_BYTES
+                n[np.unique(hashes % WORD_BUCKETS)] += 1
+                n[WORD_BUCKETS + bucket_of(lexical_keys(hashes))] += len(text) + ROW_BYTES
                 n[-2:] += (1, len(hashes))
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["bucket", "n"])
@@ -247,7 +246,7 @@ def packed(docs: DataFrame, tokenizer_path: str | None = None, part_bytes: int =
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, row = shared.value, 0
         for batch in batches:
-            keys = [lexical_keys(np.unique(word_hashes(t or b""))) for t in batch.column(1).to_pylist()]
+            keys = [lexical_keys(word_hashes(t or b"")) for t in batch.column(1).to_pylist()]
             salts, parts = batch.column(2).to_numpy(zero_copy_only=False), []
             for k, salt in zip(keys, salts.tolist(), strict=True):
                 bucket = bucket_of(k)
