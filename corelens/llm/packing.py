@@ -60,11 +60,16 @@ def encoder(path: str | None = None):
 
 
 def token_ids(text: str | None, path: str | None = None) -> np.ndarray:
-    return np.array([*encoder(path).encode(text or "", allowed_special="all"), END], "<u4")
+    text, own = text or "", encoder(path)
+    special = any(x in text for x in SPECIAL)
+    return np.array([*(own.encode(text, allowed_special="all") if special else own.encode_ordinary(text)), END], "<u4")
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    words = text.translate(_LOWER).split()
+def words_of(text: bytes) -> list[bytes]:
+    return text.translate(_LOWER).split()
+
+
+def word_hashes(words: list[bytes] | set[bytes]) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, words), np.int64, len(words))
 
 
@@ -119,10 +124,11 @@ def corpus_counts(narrow: DataFrame, part_bytes: int = PART_BYTES) -> CorpusCoun
         for batch in batches:
             for text in batch.column(1).to_pylist():
                 text = text or b""
-                hashes = word_hashes(text)
-                n[np.unique(hashes % WORD_BUCKETS)] += 1
+                words = words_of(text)
+                hashes = word_hashes(set(words))
+                n[hashes % WORD_BUCKETS] += 1  # once a document, however many of its words share a bucket
                 n[WORD_BUCKETS + bucket_of(lexical_keys(hashes))] += len(text) + ROW_BYTES
-                n[-2:] += (1, len(hashes))
+                n[-2:] += (1, len(words))
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["bucket", "n"])
 
@@ -136,7 +142,7 @@ class ShardIndex:
     """Inverted BM25 index of one shard. counts: those of the corpus; without, the shard is the corpus."""
 
     def __init__(self, texts: list[bytes], counts: CorpusCounts | None = None):
-        hashed = [word_hashes(t) for t in texts]
+        hashed = [word_hashes(words_of(t)) for t in texts]
         n = len(texts)
         lengths = np.array([len(x) for x in hashed], float)
         pairs = np.concatenate([np.empty(0, np.int64), *hashed]) << 24 | np.repeat(np.arange(n), lengths.astype(int))
@@ -246,7 +252,7 @@ def packed(docs: DataFrame, tokenizer_path: str | None = None, part_bytes: int =
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, row = shared.value, 0
         for batch in batches:
-            keys = [lexical_keys(word_hashes(t or b"")) for t in batch.column(1).to_pylist()]
+            keys = [lexical_keys(word_hashes(set(words_of(t or b"")))) for t in batch.column(1).to_pylist()]
             salts, parts = batch.column(2).to_numpy(zero_copy_only=False), []
             for k, salt in zip(keys, salts.tolist(), strict=True):
                 bucket = bucket_of(k)

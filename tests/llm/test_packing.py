@@ -183,7 +183,7 @@ def test_related_documents_share_a_part():
     rng = random.Random(2)
     topics = [["".join(rng.choices("abcdefghijkl", k=7)) for _ in range(40)] for _ in range(50)]
     texts = [" ".join(rng.choices(topics[k % 50], k=150)) for k in range(2000)]
-    keys = [packing.lexical_keys(np.unique(packing.word_hashes(t.encode()))) for t in texts]
+    keys = [packing.lexical_keys(packing.word_hashes(set(t.encode().split()))) for t in texts]
     order = sorted(range(2000), key=lambda k: keys[k])
     assert np.mean([a % 50 == b % 50 for a, b in zip(order, order[1:])]) > 0.8  # by chance 0.02
 
@@ -191,3 +191,14 @@ def test_related_documents_share_a_part():
 def test_long_text_without_white_space(spark):
     texts = {1: "x" * 200_000, 2: "é" * 70_000}
     _check(packing.packed(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect(), texts)
+
+
+def test_corpus_counts(spark):
+    rng = random.Random(1)
+    texts = {k: " ".join(rng.choices(["Aa", "bb", "cc", "é", "dd"], k=rng.randint(0, 9))) for k in range(200)} | {500: None}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").selectExpr("doc_id", "cast(text as binary) text")
+    counts = packing.corpus_counts(df.repartition(5))
+    words = [(t or "").replace("A", "a").split() for t in texts.values()]
+    assert (counts.documents, counts.words) == (201, sum(map(len, words)))
+    for w in ("aa", "bb", "cc", "é", "dd"):
+        assert counts.df[zlib.crc32(w.encode()) % packing.WORD_BUCKETS] == sum(w in ws for ws in words)
