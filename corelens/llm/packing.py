@@ -22,6 +22,7 @@ documents with pieces of their own; a null doc_id is kept; an empty table gives
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,6 +44,10 @@ SPECIAL = {"<|endoftext|>": 50256}
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, seed_doc_id long"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+_BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
+_BASE, _CHUNK = 0xD6E8FEB86659FD93, 1 << 20
+_kept: list[np.ndarray] = []
 _FACTORS = np.random.default_rng(3).integers(0, 2**63, 3, np.uint64) * np.uint64(2) + np.uint64(1)
 _encoders: dict[str, object] = {}
 
@@ -65,27 +70,83 @@ def token_ids(text: str | None, path: str | None = None) -> np.ndarray:
     return np.array([*(own.encode(text, allowed_special="all") if special else own.encode_ordinary(text)), END], "<u4")
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(_LOWER).split()
-
-
-def word_hashes(words: list[bytes] | set[bytes]) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, words), np.int64, len(words))
-
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of _BASE and of its inverse modulo 2**64."""
+    if len(_kept) == 0 or len(_kept[0]) < n:
+        made = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            x = np.full(max(n, 2 * _CHUNK), base, np.uint64)
+            x[0] = 1
+            made.append(np.cumprod(x))
+        _kept[:] = made
+    return _kept[0][:n], _kept[1][:n]
+
+
+def _hashed(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash, of 39 bits, and start of every word of a text that ends with a blank. A word's hash is its polynomial in _BASE, taken from running sums."""
+    data = np.frombuffer(joined.translate(_LOWER), np.uint8)
+    space = _SPACE[data]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edges = np.concatenate([[0], edges])
+    starts, ends = edges[::2], edges[1::2]
+    powers, inverse = _powers(len(data))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * powers)])
+    h = (sums[ends] - sums[starts]) * inverse[starts]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    return (h >> np.uint64(25)).astype(np.int64), starts
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, one text after the other, and how many words each has. About _CHUNK bytes are hashed at a time, cut between words."""
+    hashes, counts = [np.empty(0, np.int64)], np.zeros(len(texts), np.int64)
+    held, size = [], 0
+
+    def ready() -> None:
+        nonlocal size
+        if held:
+            h, starts = _hashed(b" ".join(x for _, x in held) + b" ")
+            ends = np.cumsum([len(x) + 1 for _, x in held])
+            np.add.at(counts, [k for k, _ in held], np.diff(np.searchsorted(starts, ends), prepend=0))
+            hashes.append(h)
+            held.clear()
+            size = 0
 
-def lexical_keys(hashes: np.ndarray) -> list[int]:
-    """Min-hashes of a document's word hashes, 63 bits each; zeros without words."""
-    if not len(hashes):
-        return [0] * len(_FACTORS)
-    x = hashes.astype(np.uint64)
-    x = (x ^ x >> np.uint64(15)) * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(32)
-    return [int((x * f).min() >> np.uint64(1)) for f in _FACTORS]
+    for k, text in enumerate(texts):
+        at = 0
+        while len(text) - at > _CHUNK:
+            cut = _BLANK.search(text, at + _CHUNK)
+            if not cut:
+                break
+            held.append((k, text[at : cut.start()]))
+            ready()
+            at = cut.end()
+        held.append((k, text[at:] if at else text))
+        size += len(text) - at
+        if size >= _CHUNK:
+            ready()
+    ready()
+    return np.concatenate(hashes), counts
+
+
+def lexical_keys(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Min-hashes of 63 bits over each text's word hashes, a row for each text; zeros without words."""
+    out = np.zeros((len(counts), len(_FACTORS)), np.int64)
+    some = np.flatnonzero(counts)
+    if len(some):
+        x = hashes.astype(np.uint64)
+        x = (x ^ x >> np.uint64(15)) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(32)
+        begins = (np.cumsum(counts) - counts)[some]
+        for j, f in enumerate(_FACTORS):
+            out[some, j] = np.minimum.reduceat(x * f, begins) >> np.uint64(1)
+    return out
 
 
-def bucket_of(keys: list[int]) -> int:
+def buckets_of(keys: np.ndarray) -> np.ndarray:
     """The first KEY_BITS bits of the first two min-hashes."""
-    return keys[0] >> 63 - KEY_BITS << KEY_BITS | keys[1] >> 63 - KEY_BITS
+    return keys[:, 0] >> 63 - KEY_BITS << KEY_BITS | keys[:, 1] >> 63 - KEY_BITS
 
 
 @dataclass(frozen=True)
@@ -122,13 +183,13 @@ def corpus_counts(narrow: DataFrame, part_bytes: int = PART_BYTES) -> CorpusCoun
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(WORD_BUCKETS + keys + 2, np.int64)
         for batch in batches:
-            for text in batch.column(1).to_pylist():
-                text = text or b""
-                words = words_of(text)
-                hashes = word_hashes(set(words))
-                n[hashes % WORD_BUCKETS] += 1  # once a document, however many of its words share a bucket
-                n[WORD_BUCKETS + bucket_of(lexical_keys(hashes))] += len(text) + ROW_BYTES
-                n[-2:] += (1, len(words))
+            texts = [t or b"" for t in batch.column(1).to_pylist()]
+            hashes, counts = word_hashes(texts)
+            words, ends = hashes % WORD_BUCKETS, np.cumsum(counts).tolist()
+            for begin, end in zip([0, *ends], ends):
+                n[words[begin:end]] += 1  # once a document, however many of its words share a bucket
+            np.add.at(n, WORD_BUCKETS + buckets_of(lexical_keys(hashes, counts)), [len(t) + ROW_BYTES for t in texts])
+            n[-2:] += (len(texts), len(hashes))
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["bucket", "n"])
 
@@ -142,10 +203,9 @@ class ShardIndex:
     """Inverted BM25 index of one shard. counts: those of the corpus; without, the shard is the corpus."""
 
     def __init__(self, texts: list[bytes], counts: CorpusCounts | None = None):
-        hashed = [word_hashes(words_of(t)) for t in texts]
-        n = len(texts)
-        lengths = np.array([len(x) for x in hashed], float)
-        pairs = np.concatenate([np.empty(0, np.int64), *hashed]) << 24 | np.repeat(np.arange(n), lengths.astype(int))
+        hashes, sizes = word_hashes(texts)
+        n, lengths = len(texts), sizes.astype(float)
+        pairs = hashes << 24 | np.repeat(np.arange(n), sizes)
         pairs, tf = np.unique(pairs, return_counts=True)
         terms, docs = pairs >> 24, pairs & 0xFFFFFF
         first = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]])) if len(terms) else np.empty(0, np.int64)
@@ -252,13 +312,12 @@ def packed(docs: DataFrame, tokenizer_path: str | None = None, part_bytes: int =
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, row = shared.value, 0
         for batch in batches:
-            keys = [lexical_keys(word_hashes(set(words_of(t or b"")))) for t in batch.column(1).to_pylist()]
-            salts, parts = batch.column(2).to_numpy(zero_copy_only=False), []
-            for k, salt in zip(keys, salts.tolist(), strict=True):
-                bucket = bucket_of(k)
-                parts.append(int(counts.first_part[bucket]) + (salt + row * 0x9E3779B9) % int(counts.parts[bucket]))
-                row += 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(parts, pa.int64()), *(pa.array(list(x), pa.int64()) for x in (list(zip(*keys, strict=True)) or [[]] * 3))], names=["doc_id", "text", "h", "part", "k0", "k1", "k2"])
+            keys = lexical_keys(*word_hashes([t or b"" for t in batch.column(1).to_pylist()]))
+            buckets, salts = buckets_of(keys), batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+            salts = (salts + np.arange(row, row + len(salts)).astype(np.uint64) * np.uint64(0x9E3779B9)) >> np.uint64(1)
+            row += len(salts)
+            parts = counts.first_part[buckets] + salts.astype(np.int64) % counts.parts[buckets]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts), *(pa.array(keys[:, j]) for j in range(3))], names=["doc_id", "text", "h", "part", "k0", "k1", "k2"])
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True)) or [[] for _ in names]

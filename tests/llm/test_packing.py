@@ -183,7 +183,7 @@ def test_related_documents_share_a_part():
     rng = random.Random(2)
     topics = [["".join(rng.choices("abcdefghijkl", k=7)) for _ in range(40)] for _ in range(50)]
     texts = [" ".join(rng.choices(topics[k % 50], k=150)) for k in range(2000)]
-    keys = [packing.lexical_keys(packing.word_hashes(set(t.encode().split()))) for t in texts]
+    keys = packing.lexical_keys(*packing.word_hashes([t.encode() for t in texts])).tolist()
     order = sorted(range(2000), key=lambda k: keys[k])
     assert np.mean([a % 50 == b % 50 for a, b in zip(order, order[1:])]) > 0.8  # by chance 0.02
 
@@ -201,4 +201,21 @@ def test_corpus_counts(spark):
     words = [(t or "").replace("A", "a").split() for t in texts.values()]
     assert (counts.documents, counts.words) == (201, sum(map(len, words)))
     for w in ("aa", "bb", "cc", "é", "dd"):
-        assert counts.df[zlib.crc32(w.encode()) % packing.WORD_BUCKETS] == sum(w in ws for ws in words)
+        assert counts.df[packing.word_hashes([w.encode()])[0][0] % packing.WORD_BUCKETS] == sum(w in ws for ws in words)
+
+
+def test_word_hashes(monkeypatch):
+    """Equal words have equal hashes wherever they stand, others differ; chunks are cut between words."""
+    rng = random.Random(8)
+    texts = [b"", b" \n", b"one", "É é A a\x0bb\x1cc".encode(), b"x" * 5000] + [b" ".join(rng.choices([b"aa", b"AA", b"ab", b"a", b"longer" * 9], k=rng.randint(0, 80))) + rng.choice([b"", b"  "]) for _ in range(60)]
+    lower = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+    words = [t.translate(lower).split() for t in texts]
+    for chunk in (1 << 20, 50):
+        monkeypatch.setattr(packing, "_CHUNK", chunk)
+        hashes, counts = packing.word_hashes(texts)
+        assert counts.tolist() == [len(w) for w in words]
+        of = dict(zip((w for ws in words for w in ws), hashes.tolist()))
+        assert hashes.tolist() == [of[w] for ws in words for w in ws] and len(set(of.values())) == len(of) and max(of.values()) < 1 << 39
+    keys = packing.lexical_keys(hashes, counts)
+    assert keys[:2].tolist() == [[0] * 3] * 2 and (keys[2:5] > 0).all()
+    assert keys.tolist() == [packing.lexical_keys(*packing.word_hashes([t])).tolist()[0] for t in texts]
