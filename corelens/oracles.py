@@ -97,8 +97,9 @@ SELECT v, min(c) AS component FROM reach GROUP BY v"""
 _DIR_LINKS = "SELECT src AS x, dst AS y FROM e UNION SELECT dst, src FROM e"
 _ML_LINKS = "SELECT x, y FROM eA UNION SELECT x, y FROM eN UNION SELECT x, y FROM eR"
 
-#: All (k, l) of dir: r peels the vertex sets of every pair at once; inside(c0, c1, v), sky(c0, c1, v).
-_DIR_GRID = f"""WITH RECURSIVE e AS ({DIR}), verts AS (SELECT src AS v FROM e UNION SELECT dst FROM e),
+def _dir_grid(edges: str, all_edges: str = DIR) -> str:
+    """All (k, l) of a directed graph: r peels the vertex sets of every pair at once; inside(c0, c1, v), sky(c0, c1, v). all_edges: whose ends are vertices."""
+    return f"""WITH RECURSIVE e AS ({edges}), verts AS (SELECT src AS v FROM ({all_edges}) UNION SELECT dst FROM ({all_edges})),
 deg AS (SELECT (SELECT max(n) FROM (SELECT count(*) AS n FROM e GROUP BY dst)) AS di, (SELECT max(n) FROM (SELECT count(*) AS n FROM e GROUP BY src)) AS dout),
 g AS (SELECT a, b FROM (SELECT unnest(generate_series(0, least(di, 40))) AS a FROM deg), (SELECT unnest(generate_series(0, least(dout, 40))) AS b FROM deg)),
 r(a, b, v, it) AS (SELECT a, b, v, 0 FROM g, verts UNION ALL
@@ -115,6 +116,35 @@ inside AS (SELECT a::INT AS c0, b::INT AS c1, v FROM (SELECT *, bool_and(ok) OVE
 best AS (SELECT v, c0, max(c1) AS c1 FROM inside GROUP BY v, c0),
 sky AS (SELECT c0, c1, v FROM (SELECT *, max(c1) OVER (PARTITION BY v ORDER BY c0 DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM best) WHERE above IS NULL OR c1 > above)"""
 
+
+_DIR_GRID = _dir_grid(DIR)
+
+_TRADED = f"""SELECT layer, a, b, n * 100.0 * count(*) OVER (PARTITION BY layer) / sum(n) OVER (PARTITION BY layer) AS percent FROM
+  (SELECT l_returnflag AS layer, least(cn, sn) AS a, greatest(cn, sn) AS b, count(*) AS n FROM ({_PAIRS}) WHERE cn <> sn GROUP BY ALL)"""
+
+
+def _trade(condition: str) -> str:
+    return f"SELECT layer, a, b FROM ({_TRADED}) WHERE {condition}"
+
+
+def ml_grid(edges: str, all_edges: str) -> str:
+    """All thresholds of three layers A, N, R: inside(c0, c1, c2, v) and sky(c0, c1, c2, v)."""
+    degrees = lambda of: f"(SELECT s.c0, s.c1, s.c2, e.x AS v, count(*) FILTER (layer = 'A') AS n0, count(*) FILTER (layer = 'N') AS n1, count(*) FILTER (layer = 'R') AS n2 FROM {of} AS s JOIN e ON e.y = s.v GROUP BY ALL)"
+    fine = "coalesce(n0, 0) >= x.c0 AND coalesce(n1, 0) >= x.c1 AND coalesce(n2, 0) >= x.c2 AS ok"
+    top = lambda layer: f"(SELECT unnest(generate_series(0, coalesce((SELECT max(n) FROM (SELECT count(*) AS n FROM e WHERE layer = '{layer}' GROUP BY x)), 0))) AS c{'ANR'.index(layer)})"
+    return f"""WITH RECURSIVE e AS (SELECT layer, a AS x, b AS y FROM ({edges}) UNION SELECT layer, b, a FROM ({edges})),
+verts AS (SELECT a AS v FROM ({all_edges}) UNION SELECT b FROM ({all_edges})),
+g AS (SELECT * FROM {top("A")}, {top("N")}, {top("R")}),
+r(c0, c1, c2, v, it) AS (SELECT c0, c1, c2, v, 0 FROM g, verts UNION ALL
+  SELECT c0, c1, c2, v, it + 1 FROM (SELECT *, bool_or(NOT ok) OVER (PARTITION BY c0, c1, c2) AS bad FROM (
+    SELECT x.c0, x.c1, x.c2, x.v, x.it, {fine} FROM r AS x LEFT JOIN {degrees("r")} n ON n.c0 = x.c0 AND n.c1 = x.c1 AND n.c2 = x.c2 AND n.v = x.v)) WHERE bad AND ok),
+top AS (SELECT c0, c1, c2, max(it) AS it FROM r GROUP BY ALL),
+l AS (SELECT c0, c1, c2, v FROM r JOIN top USING (c0, c1, c2, it)),
+t AS (SELECT x.*, {fine} FROM l AS x LEFT JOIN {degrees("l")} n ON n.c0 = x.c0 AND n.c1 = x.c1 AND n.c2 = x.c2 AND n.v = x.v),
+inside AS (SELECT c0::INT AS c0, c1::INT AS c1, c2::INT AS c2, v::BIGINT AS v FROM (SELECT *, bool_and(ok) OVER (PARTITION BY c0, c1, c2) AS fine FROM t) WHERE fine),
+sky AS (SELECT * FROM inside i WHERE NOT EXISTS (SELECT 1 FROM inside j WHERE j.v = i.v AND j.c0 >= i.c0 AND j.c1 >= i.c1 AND j.c2 >= i.c2 AND (j.c0 > i.c0 OR j.c1 > i.c1 OR j.c2 > i.c2)))"""
+
+
 _LEAF = "leaf AS (SELECT core_id // 8 AS block_id, min(c0) AS lo0, max(c0) AS hi0, min(c1) AS lo1, max(c1) AS hi1, min(core_id) AS first_core, max(core_id) AS last_core, count(*) AS items FROM points GROUP BY 1)"
 _AFTER_ADDS = f"SELECT u, v FROM ({LOC}) UNION SELECT u, v FROM ({ADDS})"
 _AFTER_DELETES = f"SELECT u, v FROM ({LOC}) EXCEPT SELECT u, v FROM ({DELETES})"
@@ -211,3 +241,69 @@ def _changes() -> str:
 
 ORACLES["component_members_list"] = f"SELECT component, string_agg(v::VARCHAR, ',' ORDER BY v) AS members FROM ({_labelled(_dir_core(8, 8), _DIR_LINKS)}) GROUP BY component"
 ORACLES |= {"ab_skyline_delta": _delta(), "ab_membership_changes": _changes()}
+
+
+# Sources, maintenance of all models, seeded draws
+
+_TRADE = _trade("percent > 115")
+_ML_GRID = ml_grid(_TRADE, _TRADE)
+_ML_AFTER_ADDS = f"SELECT * FROM ({_TRADE}) UNION SELECT * FROM ({_trade('percent > 110')})"
+_ML_AFTER_DELETES = f"SELECT * FROM ({_TRADE}) EXCEPT SELECT * FROM ({_trade('percent > 125')})"
+_JUMP = "SELECT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_linenumber = 1 AND b.l_linenumber = {to} AND a.l_returnflag = '{flag}' AND a.l_partkey <> b.l_partkey"
+_DIR_AFTER_ADDS = f"SELECT * FROM ({DIR}) UNION SELECT * FROM ({_JUMP.format(to=3, flag='R')})"
+_DIR_AFTER_DELETES = f"SELECT * FROM ({DIR}) EXCEPT SELECT * FROM ({_JUMP.format(to=2, flag='A')})"
+
+
+def _draws(columns: str) -> str:
+    """CTEs q(qid, columns): 10,000 seeded draws from the distinct thresholds of inside."""
+    return f""", valid AS (SELECT {columns}, row_number() OVER (ORDER BY {columns}) - 1 AS k FROM (SELECT DISTINCT {columns} FROM inside)),
+x AS (SELECT i AS qid, (i + 1 + 7 * 7919) % 2147483647 * 48271 % 2147483647 AS x FROM (SELECT unnest(generate_series(0, 9999)) AS i)),
+q AS (SELECT qid, {columns} FROM (SELECT qid, x * x % 2147483647 % (SELECT count(*) FROM valid) AS k FROM x) JOIN valid USING (k))"""
+
+
+def _size_sweep() -> str:
+    return f"""WITH RECURSIVE e AS ({LOC}),
+ranked AS (SELECT u, v, row_number() OVER (ORDER BY x * x % 2147483647, u, v) AS k FROM (SELECT u, v, (u * 48271 + v * 16807) % 2147483647 * 48271 % 2147483647 AS x FROM e)),
+s(size) AS (VALUES (0), (1), (4), (16), (64), (256), (1024)),
+r(size, u, v, it) AS (SELECT size, u, v, 0 FROM ranked, s WHERE k > size UNION ALL
+  SELECT size, u, v, it + 1 FROM (SELECT *, bool_or(du < 2 OR dv < 5) OVER (PARTITION BY size) AS bad FROM
+    (SELECT size, u, v, it, count(*) OVER (PARTITION BY size, u) AS du, count(*) OVER (PARTITION BY size, v) AS dv FROM r)) WHERE bad AND du >= 2 AND dv >= 5),
+top AS (SELECT size, max(it) AS it FROM r GROUP BY size),
+l AS (SELECT size, u, v, count(*) OVER (PARTITION BY size, u) AS du, count(*) OVER (PARTITION BY size, v) AS dv FROM r JOIN top USING (size, it)),
+core AS (SELECT size, u, v FROM (SELECT *, bool_or(du < 2 OR dv < 5) OVER (PARTITION BY size) AS bad FROM l) WHERE NOT bad),
+inside AS (SELECT DISTINCT size, 'U' AS side, u AS v FROM core UNION SELECT DISTINCT size, 'V', v FROM core)
+SELECT s.size, 'leave' AS change, count(*) AS n FROM s, inside o WHERE s.size > 0 AND o.size = 0 AND NOT EXISTS (SELECT 1 FROM inside i WHERE i.size = s.size AND i.side = o.side AND i.v = o.v) GROUP BY s.size"""
+
+
+ORACLES |= {
+    "dir_text_source": DIR,
+    "dir_degrees_source": f"""WITH e AS ({DIR}), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e)
+      SELECT id, (SELECT count(*) FROM e WHERE dst = id) AS in_degree, (SELECT count(*) FROM e WHERE src = id) AS out_degree FROM v""",
+    "ml_text_source": f"SELECT (CASE layer WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END)::INT AS dim, a, b FROM ({ML}) WHERE layer IN ('A', 'N', 'R')",
+    "ab_skyline_source": ORACLES["ab_skyline"],
+    "kl_skyline_source": ORACLES["kl_skyline"],
+    "ml_skyline_source": _ML_GRID + " SELECT * FROM sky",
+    "kl_frontier_source": ORACLES["kl_frontier"],
+    "ab_frontier_source": ORACLES["ab_frontier"],
+    "ml_frontier_source": _ML_GRID + " SELECT c0, c1, max(c2) AS max_last, 2 AS free FROM inside GROUP BY c0, c1",
+    "update_file_source": f"SELECT 0::BIGINT AS batch, 'A' AS op, u, v FROM ({ADDS})",
+    "ab_given_delta": ORACLES["ab_after_insert"],
+    "ml_trade_skyline": _ML_GRID + " SELECT * FROM sky",
+    "ml_threshold_vectors": _ML_GRID + " SELECT DISTINCT c0, c1, c2 FROM inside",
+    "ml_random_thresholds": _ML_GRID + _draws("c0, c1, c2") + " SELECT qid, c0, c1, c2, n AS size FROM q JOIN (SELECT c0, c1, c2, count(*) AS n FROM inside GROUP BY ALL) USING (c0, c1, c2)",
+    "random_thresholds_seeded": bip_grid(LOC) + _draws("c0, c1") + " SELECT qid, c0, c1, n AS size FROM q JOIN (SELECT c0, c1, count(*) AS n FROM inside GROUP BY ALL) USING (c0, c1)",
+    "kl_fixed_k_sweep": _DIR_GRID + ", q AS (SELECT i AS qid, 5 AS c0, i::INT AS c1 FROM (SELECT unnest(generate_series(0, 11)) AS i)) " + _SIZES,
+    "kl_fixed_l_sweep": _DIR_GRID + ", q AS (SELECT i AS qid, i::INT AS c0, 5 AS c1 FROM (SELECT unnest(generate_series(0, 11)) AS i)) " + _SIZES,
+    "ab_blocks_after_both": bip_grid(_AFTER_BOTH) + f", {_LEAF} SELECT 0 AS level, block_id, lo0, hi0, lo1, hi1, first_core, last_core, items FROM leaf",
+    "kl_after_insert": _dir_grid(_DIR_AFTER_ADDS, _DIR_AFTER_ADDS) + " SELECT * FROM sky",
+    "kl_after_delete": _dir_grid(_DIR_AFTER_DELETES) + " SELECT * FROM sky",
+    "ml_after_insert": ml_grid(_ML_AFTER_ADDS, _ML_AFTER_ADDS) + " SELECT * FROM sky",
+    "ml_after_delete": ml_grid(_ML_AFTER_DELETES, _TRADE) + " SELECT * FROM sky",
+    "block_tags": bip_grid(LOC)
+    + f""", {_LEAF}, corner AS (SELECT block_id, lo0 AS c0, lo1 AS c1 FROM leaf), asked AS (SELECT c0, c1 FROM points UNION SELECT c0, c1 FROM corner),
+      picked AS (SELECT c0, c1, u, v FROM cores JOIN asked USING (c0, c1)),{_GRID_LABELS}
+      SELECT DISTINCT p.core_id // 8 AS block_id, p.core_id, n.component_side, n.component, t.component_side AS tag_side, t.component AS tag
+      FROM named n JOIN sky s ON s.c0 = n.c0 AND s.c1 = n.c1 AND s.v_side = n.v_side AND s.v = n.v JOIN points p ON p.c0 = n.c0 AND p.c1 = n.c1
+      JOIN corner k ON k.block_id = p.core_id // 8 JOIN named t ON t.c0 = k.c0 AND t.c1 = k.c1 AND t.v_side = n.v_side AND t.v = n.v""",
+    "update_size_sweep": _size_sweep(),
+}

@@ -78,7 +78,7 @@ class CoreIndex:
         points = written(block_plans.core_points(points_of, graph.coordinates), "points")
         tree = written(block_plans.blocks(points, graph.coordinates, fanout), "blocks")
         grown = None
-        if forest:
+        if forest and decompose.shared_arrays(graph) is not None:  # beyond that, searches run on the graph's links
             grown = written(forests(graph, [tuple(r) for r in rows.select(*graph.prefix_columns).distinct().collect()]), "forest")
         return cls(graph, rows, points_of, points, tree, grown, fanout)
 

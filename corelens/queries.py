@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corelens.functions import boxes, vectors
@@ -84,9 +84,140 @@ def _components(graph: Graph, t: tuple[int, ...]) -> DataFrame:
     return graph.decoded(found, "v", "component")
 
 
+def _dir_adds(spark: SparkSession, d: str) -> DataFrame:
+    line = table(spark, d, "lineitem")
+    after = line.select("l_orderkey", F.col("l_partkey").alias("dst")).where("l_linenumber = 3")
+    return line.where("l_linenumber = 1 and l_returnflag = 'R'").join(after, "l_orderkey").select(F.col("l_partkey").alias("src"), "dst").distinct()
+
+
+def _dir_deletes(spark: SparkSession, d: str) -> DataFrame:
+    line = table(spark, d, "lineitem")
+    after = line.select("l_orderkey", F.col("l_partkey").alias("dst")).where("l_linenumber = 2")
+    return line.where("l_linenumber = 1 and l_returnflag = 'A'").join(after, "l_orderkey").select(F.col("l_partkey").alias("src"), "dst").distinct()
+
+
+def _dir_index(spark: SparkSession, d: str) -> CoreIndex:
+    g = _dir(spark, d)
+    return CoreIndex.build(Graph(g.kind, written(g.edges, "edges"), None, 2), fanout=FANOUT)
+
+
+LAYERS = ("A", "N", "R")
+
+
+def _traded(spark: SparkSession, d: str, percent: int) -> DataFrame:
+    """(layer, a, b): nations whose trade under a return flag has more than so many percent of the flag's mean number of lines."""
+    n = _pairs(spark, d).where("cn <> sn").groupBy(F.col("l_returnflag").alias("layer"), F.least("cn", "sn").alias("a"), F.greatest("cn", "sn").alias("b")).agg(F.count("*").alias("n"))
+    means = n.groupBy("layer").agg(F.sum("n").alias("total"), F.count("*").alias("pairs"))
+    return n.join(means, "layer").where(F.col("n") * F.col("pairs") * 100 > F.col("total") * percent).select("layer", "a", "b")
+
+
+def _trade_index(spark: SparkSession, d: str) -> CoreIndex:
+    g = graphs.multilayer(_traded(spark, d, 115), layer_order=LAYERS)
+    return CoreIndex.build(Graph(g.kind, written(g.edges, "edges"), None, 3, g.layers), fanout=FANOUT)
+
+
+def _layered(edges: DataFrame) -> DataFrame:
+    return graphs.multilayer(edges, layer_order=LAYERS).edges
+
+
+def _text(df: DataFrame, header: str | None = None) -> str:
+    """The path of a text file of the rows' `value`, after a header line."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/text-{uuid.uuid4().hex}"
+    rows = df.select(F.lit(1).alias("k"), "value")
+    if header is not None:
+        rows = spark.createDataFrame([(0, header)], "k int, value string").unionByName(rows)
+    rows.coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
+    return path
+
+
+def _list(column: str) -> Column:
+    return F.array_join(F.transform(F.sort_array(F.collect_list(column)), lambda x: x.cast("string")), " ")
+
+
 # Graphs
 
 
+def dir_text_source(spark, d):
+    lines = _dir(spark, d).edges.groupBy("src").agg(F.concat_ws(" ", F.col("src"), _list("dst")).alias("value"))
+    return readers.read_directed(spark, _text(lines, str(lines.count()))).edges
+
+
+def dir_degrees_source(spark, d):
+    g = _dir(spark, d)
+    n = lambda dim: F.coalesce(F.max(F.when(F.col("dim") == dim, F.col("degree"))), F.lit(0))
+    return readers.read_degrees(spark, _text(g.degrees().groupBy("v").agg(F.concat_ws(" ", F.col("v"), n(0), n(1)).alias("value"))))
+
+
+def ml_text_source(spark, d):
+    edges = _ml(spark, d).edges
+    return readers.read_multilayer(spark, _text(edges.select(F.concat_ws(" ", "dim", "a", "b").alias("value")), "3 0 0"), (0, 1, 2)).edges
+
+
+def ab_skyline_source(spark, d):
+    g = _loc(spark, d)
+    points = _sided(g, decompose.skyline(g), "v")
+    side = lambda name: _list_where("v", F.col("v_side") == name)
+    lines = points.groupBy("c0", "c1").agg(F.concat_ws(" ", F.col("c0"), F.col("c1"), F.count_if(F.col("v_side") == "U"), side("U"), F.count_if(F.col("v_side") == "V"), side("V")).alias("value"))
+    spaced = lines.select(F.regexp_replace("value", " +", " ").alias("value"))
+    return _sided(g, readers.read_bipartite_skyline(spark, _text(spaced, "0")), "v")
+
+
+def _list_where(column: str, condition: Column) -> Column:
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.when(condition, F.col(column)))), lambda x: x.cast("string")), " ")
+
+
+def _skyline_lines(points: DataFrame, coordinates: list[str]) -> DataFrame:
+    return points.groupBy(*coordinates).agg(F.concat_ws(" ", *coordinates, F.count("*"), _list("v")).alias("value"))
+
+
+def kl_skyline_source(spark, d):
+    return readers.read_skyline(spark, _text(_skyline_lines(decompose.skyline(_dir(spark, d)), ["c0", "c1"]), "0"))
+
+
+def ml_skyline_source(spark, d):
+    i = _trade_index(spark, d)
+    return readers.read_skyline(spark, _text(_skyline_lines(i.skyline, i.graph.coordinates), "0"), 3)
+
+
+def kl_frontier_source(spark, d):
+    g = _dir(spark, d)
+    return readers.read_frontier(spark, _text(decompose.frontier(decompose.skyline(g), g).select(F.concat_ws(" ", "c0", "max_last").alias("value"))))
+
+
+def ab_frontier_source(spark, d):
+    g = _loc(spark, d)
+    return readers.read_frontier(spark, _text(decompose.frontier(decompose.skyline(g), g).select(F.concat_ws(" ", "c0", F.col("max_last") + 1).alias("value"))), plus_one=True)
+
+
+def ml_frontier_source(spark, d):
+    i = _trade_index(spark, d)
+    found = readers.read_multilayer_frontier(spark, _text(decompose.frontier(i.skyline, i.graph).select(F.concat_ws(" ", "c0", "c1", "max_last").alias("value")), "2"))
+    return found.select(F.get("prefix", F.lit(0)).alias("c0"), F.get("prefix", F.lit(1)).alias("c1"), "max_last", "free")
+
+
+def _update_file(spark, d, delta: DataFrame) -> str:
+    """One batch of inserted edges with the skyline rows that they change."""
+    head = _adds(spark, d).agg(F.concat(F.lit("A: "), F.array_join(F.transform(F.sort_array(F.collect_list(F.concat_ws(" ", "u", "v"))), lambda x: x), " ")).alias("line")).first()["line"]
+    points = lambda state: F.array_join(F.sort_array(F.collect_list(F.when(F.col("state") == state, F.concat(F.lit("("), "c0", F.lit(","), "c1", F.lit(")"))))), "")
+    return _text(delta.groupBy("v").agg(F.concat(F.col("v").cast("string"), F.lit(":"), points("new"), F.lit("|"), points("old")).alias("value")), head)
+
+
+def update_file_source(spark, d):
+    before = _loc_index(spark, d)
+    edges, _ = readers.read_updates(spark, _update_file(spark, d, maintain.skyline_delta(before.skyline, before.skyline)))
+    return edges.select("batch", "op", F.get("ends", F.lit(0)).alias("u"), F.get("ends", F.lit(1)).alias("v"))
+
+
+def ab_given_delta(spark, d):
+    """The skyline after the insertions, from the one before and a file of given changes."""
+    before = _loc_index(spark, d)
+    after = maintain.apply_updates(before, _adds(spark, d))
+    _, given = readers.read_updates(spark, _update_file(spark, d, maintain.skyline_delta(before.skyline, after.skyline)))
+    delta = given.select(F.get("coordinate", F.lit(0)).alias("c0"), F.get("coordinate", F.lit(1)).alias("c1"), F.col("vertex").alias("v"), "state")
+    return _sided(before.graph, maintain.apply_skyline_delta(before.skyline.select("c0", "c1", "v"), delta), "v")
+
+
 def bip_edges(spark, d):
     return _bip(spark, d).edges
 
@@ -230,6 +361,15 @@ def ml_skyline(spark, d):
     return decompose.skyline(_ml(spark, d))
 
 
+def ml_trade_skyline(spark, d):
+    return _trade_index(spark, d).skyline
+
+
+def ml_threshold_vectors(spark, d):
+    i = _trade_index(spark, d)
+    return decompose.threshold_vectors(decompose.frontier(i.skyline, i.graph), i.graph)
+
+
 def skyline_membership_array(spark, d):
     g = _loc(spark, d)
     points = _sided(g, decompose.skyline(g), "v").select("c0", "c1", F.struct("v_side", "v").alias("m"))
@@ -287,6 +427,20 @@ def random_thresholds_seeded(spark, d):
     return i.batch_sizes(workload.random_thresholds(valid, i.graph, 10_000, 7))
 
 
+def ml_random_thresholds(spark, d):
+    i = _trade_index(spark, d)
+    valid = decompose.threshold_vectors(decompose.frontier(i.skyline, i.graph), i.graph)
+    return i.batch_sizes(workload.random_thresholds(valid, i.graph, 10_000, 7))
+
+
+def kl_fixed_k_sweep(spark, d):
+    return _dir_index(spark, d).batch_sizes(workload.sweep(spark, (5, None), range(0, 12)))
+
+
+def kl_fixed_l_sweep(spark, d):
+    return _dir_index(spark, d).batch_sizes(workload.sweep(spark, (None, 5), range(0, 12)))
+
+
 def merged_pieces(spark, d):
     i = _loc_index(spark, d)
     pieces = i.subgraphs().join(i.dominating((2, 5)).select("core_id"), "core_id", "left_semi").select(F.struct("core_id", "component").alias("piece"), "v")
@@ -404,6 +558,27 @@ def ab_after_both(spark, d):
     return _sided(i.graph, i.components((2, 5)), "v", "component")
 
 
+def ab_blocks_after_both(spark, d):
+    """Cores are numbered anew after an update, and blocks follow."""
+    return maintain.apply_updates(_loc_index(spark, d), _adds(spark, d), _deletes(spark, d)).tree.where("level = 0").drop("parent")
+
+
+def kl_after_insert(spark, d):
+    return maintain.apply_updates(_dir_index(spark, d), _dir_adds(spark, d)).skyline
+
+
+def kl_after_delete(spark, d):
+    return maintain.apply_updates(_dir_index(spark, d), None, _dir_deletes(spark, d)).skyline
+
+
+def ml_after_insert(spark, d):
+    return maintain.apply_updates(_trade_index(spark, d), _layered(_traded(spark, d, 110))).skyline
+
+
+def ml_after_delete(spark, d):
+    return maintain.apply_updates(_trade_index(spark, d), None, _layered(_traded(spark, d, 125))).skyline
+
+
 def ab_skyline_delta(spark, d):
     before = _loc_index(spark, d)
     after = maintain.apply_updates(before, _adds(spark, d))
@@ -417,9 +592,9 @@ def ab_membership_changes(spark, d):
 
 
 def update_size_sweep(spark, d):
-    """Vertices that leave the (2, 5)-core when 1, 4, 16, 64 of its edges go: independent what-if batches."""
+    """Vertices that leave the (2, 5)-core when 1, 4, 16, 64, 256, 1024 edges go: independent what-if batches."""
     index = _loc_index(spark, d)
-    sizes = (1, 4, 16, 64)
+    sizes = (1, 4, 16, 64, 256, 1024)
     batches = written(workload.update_batches(index.graph, sizes), "batches")
     after = maintain.what_if(index, [(None, batches.where(F.col("size") == n).drop("size")) for n in sizes])
     out = None
@@ -452,6 +627,9 @@ QUERIES = {
         ab_batch_thresholds, ab_batch_components, random_thresholds_seeded, merged_pieces,
         vertex_cores, axis_maxima, sweep_order, component_members_list,
         core_subgraphs, block_boxes, block_tags, block_enclosed_vs_partial, box_measures, box_orderings, box_count_visit, box_delete, box_union, index_stats, block_bitmap_sizes,
+        dir_text_source, dir_degrees_source, ml_text_source, ab_skyline_source, kl_skyline_source, ml_skyline_source, kl_frontier_source, ab_frontier_source, ml_frontier_source,
+        update_file_source, ab_given_delta, ml_trade_skyline, ml_threshold_vectors, ml_random_thresholds, kl_fixed_k_sweep, kl_fixed_l_sweep,
+        ab_blocks_after_both, kl_after_insert, kl_after_delete, ml_after_insert, ml_after_delete,
         ab_after_insert, ab_after_delete, ab_after_both, ab_skyline_delta, ab_membership_changes, update_size_sweep, stream_replay_skyline,
     )
 }
