@@ -7,8 +7,9 @@ What the balls can't reach is found by MinHash: BANDS keys of ROWS minima each,
 
 Comparing all pairs of a crowd isn't needed to connect it. First every text is compared with the smallest that a ball or bucket offers it, then, where that leaves
 the two in different components, with the smallest of each of its other buckets and balls. Buckets
-that this leaves in more than one component are then compared pair by pair across components, where sketches (a byte of each minimum) sort
-out pairs far below SIMILARITY; all others are verified. So whatever shares a key is in one component or has been compared.
+that this leaves in more than one component are then searched across components, bucket by bucket: sketches (a byte of each minimum) sort
+out pairs far below SIMILARITY, the others are verified on the spot, the likeliest first, and none is once its two sides are connected. So whatever shares a key is in one
+component or has been compared, and only links leave a task.
 
 Defined cases: as in simhash; texts without words are copies of each other.
 """
@@ -30,7 +31,7 @@ from corelens.session import bounded_batches, written
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
 #: Equal bytes of two sketches below which a pair isn't verified; at 0.8 they are 128 of 160 on average, with a deviation of 5.
-SKETCH_EQUAL = 96
+SKETCH_EQUAL = 104
 
 _FACTORS = np.random.default_rng(5).integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -79,33 +80,52 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(joined.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long"), "near")
 
 
+def _bucket_links(names: list[int], component: np.ndarray, sketch: np.ndarray, texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
+    """Links that connect what is similar enough across the components of one bucket."""
+    shingles: list[set | None] = [None] * len(names)
+
+    def of(k: int) -> set:
+        if shingles[k] is None:
+            shingles[k] = set(shingle_hashes(texts[k], SHINGLE).tolist())
+        return shingles[k]
+
+    for i in range(len(names) - 1):
+        other = i + 1 + np.flatnonzero(component[i + 1 :] != component[i])
+        equal = (sketch[other] == sketch[i]).sum(axis=1)
+        near = np.flatnonzero(equal >= SKETCH_EQUAL)
+        for j in other[near[np.argsort(-equal[near], kind="stable")]].tolist():
+            if component[j] != component[i]:
+                x, y = of(i), of(j)
+                common = len(x & y)
+                union = len(x) + len(y) - common
+                if not union or common >= SIMILARITY * union:
+                    yield min(names[i], names[j]), max(names[i], names[j])
+                    component[component == component[j]] = component[i]
+
+
 def _across(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components whose sketches don't rule them out."""
+    """Links (a, b) inside one bucket and across components; rows: key, h, c (component), sketch, text."""
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         bucket = None
 
-        def ready() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1:
-                h, c = (np.array([r[k] for r in held], np.int64) for k in (0, 1))
-                sketch = np.frombuffer(b"".join(r[2] for r in held), np.uint8).reshape(len(held), -1)
-                for i in range(len(held) - 1):
-                    other = i + 1 + np.flatnonzero(c[i + 1 :] != c[i])
-                    other = other[(sketch[other] == sketch[i]).sum(axis=1) >= SKETCH_EQUAL]
-                    if len(other):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(h[i], h[other])), pa.array(np.maximum(h[i], h[other]))], names=["a", "b"])
+        def ready() -> pa.RecordBatch:
+            names, c, sketches, texts = ([r[k] for r in held] for k in range(4))
+            sketch = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(held), -1) if held else np.empty((0, 0), np.uint8)
+            found = list(_bucket_links(names, np.array(c, np.int64), sketch, texts))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
             for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != bucket:
-                    yield from ready()
-                    held.clear()
+                    yield ready()
                     bucket = key
-                held.append(row)
-        yield from ready()
+                held.append(tuple(row))
+        yield ready()
 
-    return rows.repartition("key").sortWithinPartitions("key").select("key", "h", "c", "sketch").mapInArrow(met, "a long, b long").distinct()
+    return rows.repartition("key").sortWithinPartitions("key", "h").select("key", "h", "c", "sketch", "text").mapInArrow(met, "a long, b long").distinct()
 
 
 def _in_balls(signed: DataFrame) -> DataFrame:
@@ -138,7 +158,9 @@ def components(docs: DataFrame) -> DataFrame:
     names = written(linked_components(near), "names")
     labelled = buckets.select("key", "h").join(names.select(F.col("vertex").alias("h"), "component"), "h", "left").select("key", "h", F.coalesce("component", "h").alias("c"))
     split = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low < high and n > 2").select("key")
-    more = _verified(docs, _across(labelled.join(split, "key").join(signed.select("h", "sketch"), "h")))
+    apart = written(labelled.join(split, "key").join(signed.select("h", "sketch"), "h"), "apart")
+    texts = docs.select(F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text")).join(apart.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"])
+    more = written(_across(apart.join(texts, "h")), "links")
     return linked_components(near.unionByName(more))
 
 
