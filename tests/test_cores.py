@@ -60,8 +60,22 @@ def test_skyline_frontier_and_search(spark, kind, seed):
     for r in index.batch_components(queries).collect():
         by.setdefault(r.qid, {})[name(kind, r.v)] = name(kind, r.component)
     assert by == {k: naive.components(cores[t], links) for k, t in enumerate(sorted(cores))}
-    # the forest has no more links than the links it replaces, and connects the same
-    assert index.connect_edges().count() >= 0 and index.out_edges().count() >= 0
+    # Connect edges are graph links without cycles that connect each point's core like all its links do.
+    coordinates = {r.core_id: tuple(r[c] for c in g.coordinates) for r in index.points.collect()}
+    held = {}
+    for r in index.connect_edges().collect():
+        held.setdefault(r.core_id, set()).add((r.a, r.b))
+    all_links = {(r.a, r.b) for r in g.links().collect()}
+    for core_id, t in coordinates.items():
+        own, parts = held.get(core_id, set()), naive.components(cores[t], links)
+        assert own <= all_links
+        assert naive.components(cores[t], [(name(kind, a), name(kind, b)) for a, b in own]) == parts
+        assert len(own) == len(parts) - len(set(parts.values()))
+    inside = {}
+    for r in index.skyline.join(index.points, g.coordinates).collect():
+        inside.setdefault(r.core_id // index.fanout, set()).add(r.v)
+    want = {(core_id // index.fanout, a, b) for core_id, own in held.items() for a, b in own if not {a, b} <= inside[core_id // index.fanout]}
+    assert {tuple(r) for r in index.out_edges().select("block_id", "a", "b").collect()} == want
 
 
 def test_decomposition_by_rounds(spark):
