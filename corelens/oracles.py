@@ -306,4 +306,19 @@ ORACLES |= {
       FROM named n JOIN sky s ON s.c0 = n.c0 AND s.c1 = n.c1 AND s.v_side = n.v_side AND s.v = n.v JOIN points p ON p.c0 = n.c0 AND p.c1 = n.c1
       JOIN corner k ON k.block_id = p.core_id // 8 JOIN named t ON t.c0 = k.c0 AND t.c1 = k.c1 AND t.v_side = n.v_side AND t.v = n.v""",
     "update_size_sweep": _size_sweep(),
+    "ab_annotated_components": ORACLES["ab_forest_components"],
+    "forest_subgraphs": ORACLES["core_subgraphs"],
+    "connect_edge_counts": bip_grid(LOC)
+    + f""", picked AS (SELECT c0, c1, u, v FROM cores),{_GRID_LABELS},
+      own AS (SELECT * FROM sky JOIN named USING (c0, c1, v_side, v)),
+      firsts AS (SELECT c0, c1, component_side, component, min(struct_pack(s := v_side, i := v)) AS f FROM own GROUP BY ALL),
+      known AS (SELECT c0 - 1 AS c0, c1, 'U' AS xs, u AS x, 'V' AS ys, v AS y FROM cores UNION SELECT c0, c1 - 1, 'U', u, 'V', v FROM cores
+        UNION SELECT c0, c1, f.s, f.i, v_side, v FROM own JOIN firsts USING (c0, c1, component_side, component)),
+      ways AS (SELECT * FROM known UNION SELECT c0, c1, ys, y, xs, x FROM known),
+      held(c0, c1, xs, x, ys, y) AS (SELECT c0, c1, v_side, v, v_side, v FROM inside UNION
+        SELECT h.c0, h.c1, h.xs, h.x, k.ys, k.y FROM held h JOIN ways k ON k.c0 = h.c0 AND k.c1 = h.c1 AND k.xs = h.ys AND k.x = h.y),
+      pieces AS (SELECT c0, c1, xs, x, min(struct_pack(s := ys, i := y)) AS m FROM held GROUP BY ALL),
+      n AS (SELECT c0, c1, count(DISTINCT m) AS pieces FROM pieces GROUP BY ALL),
+      k AS (SELECT c0, c1, count(DISTINCT struct_pack(s := component_side, i := component)) AS parts FROM named GROUP BY ALL)
+      SELECT c0, c1, pieces - parts AS n FROM n JOIN k USING (c0, c1) WHERE pieces > parts""",
 }

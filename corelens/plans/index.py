@@ -63,6 +63,7 @@ class CoreIndex:
     tree: DataFrame
     forest: DataFrame | None = None
     fanout: int = field(default=block_plans.FANOUT)
+    annotations: DataFrame | None = field(default=None, init=False, repr=False)
 
     # Building and storing
 
@@ -176,9 +177,26 @@ class CoreIndex:
         """One row: the largest value of each coordinate."""
         return self.points.agg(*[F.max(c).alias(c) for c in self.graph.coordinates])
 
+    def _annotations(self) -> DataFrame:
+        """(prefix, w, kind, a, b) by one sweep a prefix down its forest: kind 0 is a link that a threshold leaves open, kind 2 a point's own vertex a in component b."""
+        if self.forest is None:
+            raise ValueError("built without forests")
+        if self.annotations is None:
+            g = self.graph
+            rows = self.forest.select(*g.prefix_columns, "w", F.lit(0).alias("kind"), "a", "b")
+            for c in g.prefix_columns:  # what the next prefix in each coordinate connects
+                rows = rows.unionByName(self.forest.where(F.col(c) > g.base).withColumn(c, F.col(c) - 1).select(*g.prefix_columns, "w", F.lit(1).alias("kind"), "a", "b"))
+            rows = rows.unionByName(self.skyline.select(*g.prefix_columns, F.col(g.coordinates[-1]).alias("w"), F.lit(2).alias("kind"), F.col("v").alias("a"), F.col("v").alias("b")))
+            schema = ", ".join([*(f"{c} int" for c in g.prefix_columns), "w int, kind int, a long, b long"])
+            self.annotations = written(rows.groupBy(*g.prefix_columns).applyInPandas(_swept, schema), "annotations")
+        return self.annotations
+
     def subgraphs(self) -> DataFrame:
         """(core_id, component, v): each point's own vertices by component of its core."""
         g = self.graph
+        if self.forest is not None:
+            own = self._annotations().where("kind = 2").select(*g.prefix_columns, F.col("w").alias(g.coordinates[-1]), F.col("b").alias("component"), F.col("a").alias("v"))
+            return own.join(self.points.select("core_id", *g.coordinates), g.coordinates).select("core_id", "component", "v")
         parts = self.batch_components(self.points.select(F.col("core_id").alias("qid"), *g.coordinates)).withColumnRenamed("qid", "core_id")
         own = self.skyline.join(self.points.select("core_id", *g.coordinates), g.coordinates).select("core_id", "v")
         return parts.join(own, ["core_id", "v"]).select("core_id", "component", "v")
@@ -191,13 +209,25 @@ class CoreIndex:
         subs = self.subgraphs().withColumn("block_id", F.expr(f"core_id div {self.fanout}"))
         return subs.join(corner, ["block_id", "v"]).select("block_id", "core_id", "component", "tag").distinct()
 
+    def open_links(self) -> DataFrame:
+        """(c0, ..., a, b): for every threshold the fewest links that connect its core, given what the next higher thresholds connect and the subgraphs of its own point."""
+        g = self.graph
+        return self._annotations().where("kind = 0").select(*g.prefix_columns, F.col("w").alias(g.coordinates[-1]), "a", "b")
+
     def connect_edges(self) -> DataFrame:
-        """(core_id, a, b): forest links that connect the core of each point."""
-        if self.forest is None:
-            raise ValueError("built without forests")
+        """(core_id, a, b): open links, each at a point of one of its ends that dominates the threshold. With the subgraphs they connect any core: see annotated_components."""
         g = self.graph
-        same = F.expr(" and ".join([*(f"f.{c} = p.{c}" for c in g.prefix_columns), f"f.w >= p.{g.coordinates[-1]}"]))
-        return self.points.alias("p").join(self.forest.alias("f"), same).select("p.core_id", "f.a", "f.b")
+        own = self.skyline.join(self.points.select("core_id", *g.coordinates), g.coordinates).select("core_id", "v", *[F.col(c).alias(f"_{c}") for c in g.coordinates])
+        ends = self.open_links().withColumn("v", F.explode(F.array("a", "b")))
+        # The end that is new at the threshold has a point with just its last coordinate.
+        above = F.expr(" and ".join([*(f"_{c} >= {c}" for c in g.prefix_columns), f"_{g.coordinates[-1]} = {g.coordinates[-1]}"]))
+        return ends.join(own, "v").where(above).groupBy(*g.coordinates, "a", "b").agg(F.min("core_id").alias("core_id")).select("core_id", "a", "b").distinct()
+
+    def annotated_components(self, t: Sequence[int]) -> DataFrame:
+        """(v, component) of the core of t from subgraphs and connect edges of the points that dominate t, without the graph."""
+        cores = self.dominating(t).select("core_id")
+        pieces = self.subgraphs().join(cores, "core_id", "left_semi").select(F.struct("core_id", "component").alias("piece"), "v")
+        return merge_pieces(pieces, self.connect_edges().join(cores, "core_id", "left_semi"))
 
     def out_edges(self) -> DataFrame:
         """(block_id, a, b): connect edges of a leaf block's points with an end outside the block's members."""
@@ -232,6 +262,33 @@ def _labelled(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"qid": np.full(len(v), pdf["qid"].iloc[0], "int64"), "v": np.array(v, "int64"), "component": np.array([sets.find(x) for x in v], "int64")})
 
 
+def _swept(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One prefix, from its highest last value down: real has the components of its cores, known what is connected without open links."""
+    pdf = pdf.sort_values(["w", "kind", "a", "b"], ascending=[False, True, True, True], kind="stable")
+    w, kind, a, b = (pdf[c].tolist() for c in ("w", "kind", "a", "b"))
+    real, known = DisjointSets(), DisjointSets()
+    out: list[tuple[int, int, int, int]] = []
+    at = 0
+    while at < len(w):
+        end, level, first = at, w[at], {}
+        while end < len(w) and w[end] == level:
+            if kind[end] == 0:
+                real.union(a[end], b[end])
+            elif kind[end] == 1:
+                known.union(a[end], b[end])
+            else:
+                component = real.find(a[end])
+                known.union(first.setdefault(component, a[end]), a[end])
+                out.append((level, 2, a[end], component))
+            end += 1
+        out += [(level, 0, a[k], b[k]) for k in range(at, end) if kind[k] == 0 and known.union(a[k], b[k])]
+        at = end
+    found = pd.DataFrame(out, columns=["w", "kind", "a", "b"])
+    for k, c in enumerate(pdf.columns[:-4]):
+        found.insert(k, c, pdf[c].iloc[0])
+    return found
+
+
 def component_sizes(components: DataFrame) -> DataFrame:
     return components.groupBy("component").agg(F.count("*").alias("size"))
 

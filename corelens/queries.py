@@ -389,6 +389,22 @@ def ab_forest_components(spark, d):
     return _sided(i.graph, i.components((2, 5)), "v", "component")
 
 
+def ab_annotated_components(spark, d):
+    """The answer from subgraphs and connect edges alone."""
+    i = _loc_index(spark, d, forest=True)
+    return _sided(i.graph, i.annotated_components((2, 5)), "v", "component")
+
+
+def connect_edge_counts(spark, d):
+    """Links that each threshold leaves open."""
+    return _loc_index(spark, d, forest=True).open_links().groupBy("c0", "c1").agg(F.count("*").alias("n"))
+
+
+def forest_subgraphs(spark, d):
+    i = _loc_index(spark, d, forest=True)
+    return _sided(i.graph, i.subgraphs().join(i.points.select("core_id", "c0", "c1"), "core_id").select("c0", "c1", "component", "v"), "v", "component")
+
+
 def ab_dominating_cores(spark, d):
     return _loc_index(spark, d).dominating((3, 10))
 
@@ -624,7 +640,7 @@ QUERIES = {
         kl_core_members, kl_core_zero_l, kl_core_zero_k, kl_core_components, ml_core_members, ml_core_zero_layer, ml_core_components,
         ab_skyline, ab_skyline_full, ab_frontier, ab_threshold_vectors, ab_vertex_skyline_count, kl_skyline, kl_frontier, ml_skyline, skyline_membership_array,
         ab_search_from_skyline, ab_forest_components, ab_dominating_cores, ab_row_query, ab_fixed_alpha_sweep, ab_fixed_beta_sweep,
-        ab_batch_thresholds, ab_batch_components, random_thresholds_seeded, merged_pieces,
+        ab_batch_thresholds, ab_batch_components, random_thresholds_seeded, merged_pieces, ab_annotated_components, connect_edge_counts, forest_subgraphs,
         vertex_cores, axis_maxima, sweep_order, component_members_list,
         core_subgraphs, block_boxes, block_tags, block_enclosed_vs_partial, box_measures, box_orderings, box_count_visit, box_delete, box_union, index_stats, block_bitmap_sizes,
         dir_text_source, dir_degrees_source, ml_text_source, ab_skyline_source, kl_skyline_source, ml_skyline_source, kl_frontier_source, ab_frontier_source, ml_frontier_source,

@@ -60,17 +60,28 @@ def test_skyline_frontier_and_search(spark, kind, seed):
     for r in index.batch_components(queries).collect():
         by.setdefault(r.qid, {})[name(kind, r.v)] = name(kind, r.component)
     assert by == {k: naive.components(cores[t], links) for k, t in enumerate(sorted(cores))}
-    # Connect edges are graph links without cycles that connect each point's core like all its links do.
+    # Subgraphs and connect edges of the dominating points give the components of every core, and no threshold leaves more links open than it has to.
     coordinates = {r.core_id: tuple(r[c] for c in g.coordinates) for r in index.points.collect()}
-    held = {}
+    held, subs, opened = {}, {}, {}
     for r in index.connect_edges().collect():
         held.setdefault(r.core_id, set()).add((r.a, r.b))
-    all_links = {(r.a, r.b) for r in g.links().collect()}
-    for core_id, t in coordinates.items():
-        own, parts = held.get(core_id, set()), naive.components(cores[t], links)
-        assert own <= all_links
-        assert naive.components(cores[t], [(name(kind, a), name(kind, b)) for a, b in own]) == parts
-        assert len(own) == len(parts) - len(set(parts.values()))
+    for r in index.subgraphs().collect():
+        subs.setdefault((r.core_id, r.component), []).append(r.v)
+    for r in index.open_links().collect():
+        opened[tuple(r[c] for c in g.coordinates)] = opened.get(tuple(r[c] for c in g.coordinates), 0) + 1
+    assert set().union(*held.values(), set()) <= {(r.a, r.b) for r in g.links().collect()}
+    decoded = lambda pairs: [(name(kind, a), name(kind, b)) for a, b in pairs]
+    stars = {c: [(own[0], v) for (q, _), own in subs.items() if q == c for v in own] for c in coordinates}
+    for t, members in cores.items():
+        above = [c for c, at in coordinates.items() if all(x >= y for x, y in zip(at, t, strict=True))]
+        pairs = [p for c in above for p in [*decoded(stars[c]), *decoded(held.get(c, ()))] if set(p) <= members]
+        parts = naive.components(members, links)
+        assert naive.components(members, pairs) == parts, t
+        known = [p for i in range(g.dims) for p in links if set(p) <= cores.get((*t[:i], t[i] + 1, *t[i + 1 :]), set())]
+        known += [p for c, at in coordinates.items() if at == t for p in decoded(stars[c])]
+        assert opened.get(t, 0) == len(set(naive.components(members, known).values())) - len(set(parts.values())), t
+    bare = CoreIndex.from_rows(g, index.rows, False, 3)
+    assert {tuple(r) for r in bare.subgraphs().collect()} == {(c, component, v) for (c, component), own in subs.items() for v in own}
     inside = {}
     for r in index.skyline.join(index.points, g.coordinates).collect():
         inside.setdefault(r.core_id // index.fanout, set()).add(r.v)
