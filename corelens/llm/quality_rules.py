@@ -56,10 +56,12 @@ def _let(value: Column, body) -> Column:
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words in three-word windows that occur twice or more. Sorted window hashes put equal windows side by side."""
-    windows = F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))), lambda x, i: F.struct(F.xxhash64(x, words[i + 1], words[i + 2]).alias("h"), i.alias("i")))
+    """Words in three-word windows that occur twice or more. Sorting by hash, then by the words, puts equal windows side by side."""
+    window = lambda x, i: F.struct(F.xxhash64(x, words[i + 1], words[i + 2]).alias("h"), x.alias("a"), words[i + 1].alias("b"), words[i + 2].alias("c"), i.alias("i"))
+    windows = F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))), window)
+    same = lambda x, y: (x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
     later = lambda a: F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0)))
-    pairs = _let(F.sort_array(windows), lambda s: F.zip_with(s, later(s), lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"]))))
+    pairs = _let(F.sort_array(windows), lambda s: F.zip_with(s, later(s), lambda x, y: F.when(same(x, y), F.array(x["i"], y["i"]))))
     starts = F.sort_array(F.array_distinct(F.flatten(F.filter(pairs, lambda p: p.isNotNull()))))
     steps = _let(starts, lambda s: F.zip_with(s, later(s), lambda x, y: F.least(F.coalesce(y - x, F.lit(3)), F.lit(3))))
     return F.when(F.size(words) < 3, F.lit(0)).otherwise(F.aggregate(steps, F.lit(0), lambda a, x: a + x)).cast("long")
