@@ -113,12 +113,12 @@ def log_weights(docs: DataFrame, target: np.ndarray, raw: np.ndarray) -> DataFra
 def importance_resampling(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
     """doc_id, n_ngrams, log_weight, gumbel and selected (among the k largest keys) of every row.
 
-    k: documents to sample; by default the share of good rows among the labels, of all documents.
+    k: documents to sample; by default the share of good rows among the labels that aren't held out, of all documents.
     """
     bounded_batches(docs.sparkSession)
     keys = written(log_weights(docs, _bag(target_texts(docs, labels)), _bag(docs)), "keys")
     if k is None:
-        share = labels.agg(F.avg("quality")).first()[0]
+        share = labels.where(~held_out(F.col("doc_id"))).agg(F.avg("quality")).first()[0]
         k = math.ceil(keys.count() * (1.0 if share is None else share))
     least = kth_largest(keys, "sort_key", k)
     selected = F.lit(k > 0) if least is None else F.col("sort_key") >= F.lit(least)

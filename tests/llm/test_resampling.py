@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from corelens.llm import resampling as rs
+from corelens.llm.sampling import held_out
 
 
 def _tables(spark):
@@ -70,6 +71,8 @@ def test_k_from_labels_and_empty(spark):
     docs, labels = _tables(spark)
     share = labels.agg(F.avg("quality")).first()[0]
     assert rs.importance_resampling(docs, labels).where("selected").count() >= math.ceil(share * docs.count())
+    bad = docs.where(held_out(F.col("doc_id"))).select("doc_id", F.lit(0).alias("quality"), F.lit(0).alias("toxic"))
+    assert bad.count() > 50 and rs.importance_resampling(docs, labels.unionByName(bad)).where("selected").count() == rs.importance_resampling(docs, labels).where("selected").count()
     assert rs.importance_resampling(docs.limit(0), labels).collect() == []
     assert rs.importance_resampling(docs, labels.limit(0)).where("selected").count() == docs.count()
     assert rs.importance_resampling(docs, labels, 0).where("selected").count() == 0
