@@ -55,14 +55,21 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _repeat_words(words: Column) -> Column:
-    """Words in three-word windows that occur twice or more. Sorting by hash, then by the words, puts equal windows side by side."""
-    window = lambda x, i: F.struct(F.xxhash64(x, words[i + 1], words[i + 2]).alias("h"), x.alias("a"), words[i + 1].alias("b"), words[i + 2].alias("c"), i.alias("i"))
-    windows = F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))), window)
-    same = lambda x, y: (x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+def _repeat_words(words: Column, hashed=F.xxhash64) -> Column:
+    """Words in three-word windows that occur twice or more. Sorted window hashes put equal windows side by side.
+
+    Neighbours of one hash are compared by their words; should two differ, the text's windows are sorted by the words instead.
+    """
     later = lambda a: F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0)))
-    pairs = _let(F.sort_array(windows), lambda s: F.zip_with(s, later(s), lambda x, y: F.when(same(x, y), F.array(x["i"], y["i"]))))
-    starts = F.sort_array(F.array_distinct(F.flatten(F.filter(pairs, lambda p: p.isNotNull()))))
+    windows = lambda of: F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))), of)
+    same = lambda x, y: (words[x["i"]] == words[y["i"]]) & (words[x["i"] + 1] == words[y["i"] + 1]) & (words[x["i"] + 2] == words[y["i"] + 2])
+    beside = lambda rows, pair: F.filter(_let(F.sort_array(rows), lambda s: F.zip_with(s, later(s), pair)), lambda p: p.isNotNull())
+    by_hash = windows(lambda x, i: F.struct(hashed(x, words[i + 1], words[i + 2]).alias("h"), i.alias("i")))
+    by_words = windows(lambda x, i: F.struct(x.alias("a"), words[i + 1].alias("b"), words[i + 2].alias("c"), i.alias("i")))
+    # A pair that begins with -1 marks a clash of hashes.
+    met = beside(by_hash, lambda x, y: F.when(x["h"] == y["h"], F.array(F.when(same(x, y), x["i"]).otherwise(-1), y["i"])))
+    pairs = _let(met, lambda m: F.when(F.exists(m, lambda p: p[0] < 0), beside(by_words, lambda x, y: F.when(same(x, y), F.array(x["i"], y["i"])))).otherwise(m))
+    starts = F.sort_array(F.array_distinct(F.flatten(pairs)))
     steps = _let(starts, lambda s: F.zip_with(s, later(s), lambda x, y: F.least(F.coalesce(y - x, F.lit(3)), F.lit(3))))
     return F.when(F.size(words) < 3, F.lit(0)).otherwise(F.aggregate(steps, F.lit(0), lambda a, x: a + x)).cast("long")
 

@@ -42,6 +42,15 @@ def test_measures(spark):
         assert not (r.kept and r.base_failed)
 
 
+def test_windows_whose_hashes_clash(spark):
+    texts = [t for t in _texts() if t]
+    words = F.split(F.btrim("text", F.lit(q.SPACE)), "[\\x20\\x09-\\x0D]+")
+    df = spark.createDataFrame([(t,) for t in texts if WORD.search(t)], "text string")
+    for hashed in (lambda *w: F.lit(7), lambda *w: F.length(w[0])):
+        for r in df.select("text", q._let(words, lambda w: q._repeat_words(w, hashed)).alias("n")).collect():
+            assert r.n == naive(r.text)[4], r.text
+
+
 def test_rules_are_one_projection(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = q.quality_rules(df)._jdf.queryExecution().executedPlan().toString()
