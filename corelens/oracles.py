@@ -286,6 +286,9 @@ ORACLES |= {
     "kl_frontier_source": ORACLES["kl_frontier"],
     "ab_frontier_source": ORACLES["ab_frontier"],
     "ml_frontier_source": _ML_GRID + " SELECT c0, c1, max(c2) AS max_last, 2 AS free FROM inside GROUP BY c0, c1",
+    "bip_counts_source": f"WITH e AS ({LOC}) SELECT count(DISTINCT u) AS n_0, count(DISTINCT v) AS n_1 FROM e",
+    "table_sink": ORACLES["ab_skyline"],
+    "series_sink": bip_grid(LOC) + " SELECT c0, c1, count(*) AS size FROM inside WHERE (c0, c1) IN ((1, 1), (2, 5), (3, 10)) GROUP BY c0, c1",
     "update_file_source": f"SELECT 0::BIGINT AS batch, 'A' AS op, u, v FROM ({ADDS})",
     "ab_given_delta": ORACLES["ab_after_insert"],
     "ml_trade_skyline": _ML_GRID + " SELECT * FROM sky",

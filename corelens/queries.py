@@ -19,7 +19,7 @@ from corelens.operators.peel import core_members, induced_links
 from corelens.plans import blocks, maintain, workload
 from corelens.plans.index import CoreIndex, component_members, component_sizes, largest_components, merge_pieces
 from corelens.session import shared_dir, table, written
-from corelens.sources import readers
+from corelens.sources import readers, writers
 from corelens.streaming.replay import replay, version_path
 
 FANOUT = 8
@@ -259,6 +259,31 @@ def bip_text_source(spark, d):
     return readers.read_bipartite(spark, path).edges
 
 
+def bip_counts_source(spark, d):
+    """Vertices on each side, from a file of the two counts."""
+    sizes = _loc(spark, d).sizes().select("n_0", "n_1").first()
+    path = _text(spark.createDataFrame([(str(sizes["n_1"]),)], "value string"), str(sizes["n_0"]))
+    return spark.createDataFrame([readers.read_bipartite_counts(spark, path)], "n_0 long, n_1 long")
+
+
+# Sinks
+
+
+def table_sink(spark, d):
+    g, path = _loc(spark, d), f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
+    writers.write_table(_sided(g, decompose.skyline(g), "v"), path)
+    return spark.read.parquet(path)
+
+
+def series_sink(spark, d):
+    """Core sizes of some thresholds, appended to a JSON series one by one."""
+    path = f"{shared_dir(spark)}/series-{uuid.uuid4().hex}"
+    i = _loc_index(spark, d)
+    for c0, c1 in ((1, 1), (2, 5), (3, 10)):
+        writers.write_series(spark, path, [{"c0": c0, "c1": c1, "size": i.members((c0, c1)).count()}])
+    return spark.read.schema("c0 int, c1 int, size long").json(path)
+
+
 # Cores and components
 
 
@@ -644,7 +669,7 @@ QUERIES = {
         vertex_cores, axis_maxima, sweep_order, component_members_list,
         core_subgraphs, block_boxes, block_tags, block_enclosed_vs_partial, box_measures, box_orderings, box_count_visit, box_delete, box_union, index_stats, block_bitmap_sizes,
         dir_text_source, dir_degrees_source, ml_text_source, ab_skyline_source, kl_skyline_source, ml_skyline_source, kl_frontier_source, ab_frontier_source, ml_frontier_source,
-        update_file_source, ab_given_delta, ml_trade_skyline, ml_threshold_vectors, ml_random_thresholds, kl_fixed_k_sweep, kl_fixed_l_sweep,
+        bip_counts_source, table_sink, series_sink, update_file_source, ab_given_delta, ml_trade_skyline, ml_threshold_vectors, ml_random_thresholds, kl_fixed_k_sweep, kl_fixed_l_sweep,
         ab_blocks_after_both, kl_after_insert, kl_after_delete, ml_after_insert, ml_after_delete,
         ab_after_insert, ab_after_delete, ab_after_both, ab_skyline_delta, ab_membership_changes, update_size_sweep, stream_replay_skyline,
     )
