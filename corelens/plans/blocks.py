@@ -53,6 +53,15 @@ def blocks(points: DataFrame, coordinates: Sequence[str], fanout: int = FANOUT)
     return points.sparkSession.createDataFrame([], schema)
 
 
+def two_levels(tree: DataFrame) -> DataFrame:
+    """The tree's leaves under a single root that holds them all, however many there are."""
+    leaves = tree.where("level = 0")
+    ends = [e.alias(e_name) for i in range(sum(c.startswith("lo") for c in tree.columns)) for e, e_name in ((F.min(f"lo{i}"), f"lo{i}"), (F.max(f"hi{i}"), f"hi{i}"))]
+    root = leaves.agg(*ends, F.min("first_core").alias("first_core"), F.max("last_core").alias("last_core"), F.count("*").alias("items")).where("items > 1")
+    root = root.withColumns({"level": F.lit(1), "block_id": F.lit(0).cast("long"), "parent": F.lit(None).cast("long")})
+    return leaves.withColumn("parent", F.when(F.col("parent").isNotNull(), F.lit(0).cast("long"))).unionByName(root)
+
+
 def pruned(points: DataFrame, tree: DataFrame, query: Box, coordinates: Sequence[str], fanout: int = FANOUT) -> tuple[DataFrame, DataFrame]:
     """(enclosed, rest): leaf blocks that lie in the query whole, and single points of the other blocks that lie in it."""
     dims = len(coordinates)
