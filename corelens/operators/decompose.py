@@ -2,8 +2,9 @@
 
 For a prefix (all coordinates but the last) cores shrink as the last coordinate grows, so one pass of a bucket peel gives each
 vertex its last value. Prefixes are independent rows of work: they are dealt to tasks, which hold the graph as
-arrays. That needs a graph below ARRAY_EDGES edges, whose arrays then have a known size; above it `row_values` peels prefix by
-prefix with DataFrame rounds instead.
+arrays. Below ARRAY_EDGES edges the arrays are broadcast; up to TASK_EDGES each task reads the written edges itself and takes a
+run of first coordinates, so that the driver never holds the graph; above it `row_values` peels prefix by prefix with DataFrame
+rounds instead.
 """
 
 from __future__ import annotations
@@ -12,15 +13,20 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corelens.operators.graphs import Graph
-from corelens.operators.peel import Arrays, arrays_from, core_members, flat, settled
+from corelens.operators.peel import Arrays, CompactArrays, arrays_from, core_members, flat, settled
 from corelens.session import written
 
-#: Edges up to which a graph is held as arrays.
+#: Edges up to which a graph's arrays are broadcast.
 ARRAY_EDGES = 4_000_000
+#: Edges up to which each of a few tasks holds the graph, at about 8 bytes an edge and 24 while it reads.
+TASK_EDGES = 64_000_000
+#: Rows of an Arrow batch of results.
+ROWS_AT_ONCE = 500_000
 
 
 def shared_arrays(graph: Graph):
@@ -60,6 +66,85 @@ def _rows_for(graph: Graph, shared, prefixes: list[tuple[int, ...]]) -> DataFram
     return _prefix_rows(spark, prefixes, width).mapInPandas(peeled, _values_schema(width))
 
 
+def _dealt(graph: Graph, firsts: list[int], counts: dict[int, int]) -> list[list[int]]:
+    """Runs of first coordinates, one a task, of about equal work: arcs of vertices that have the degree; counts: vertices by degree."""
+    work = [1 + sum(d * n for d, n in counts.items() if d >= k) for k in firsts]
+    tasks = max(1, min(len(firsts), graph.edges.sparkSession.sparkContext.defaultParallelism))
+    out: list[list[int]] = [[] for _ in range(tasks)]
+    done = 0
+    for k, w in zip(firsts, work, strict=True):
+        out[min(tasks - 1, int((done + w / 2) * tasks / sum(work)))].append(k)
+        done += w
+    return [x for x in out if x]
+
+
+def _by_tasks(graph: Graph, prefixes: list[tuple[int, ...]] | None, sky: bool = False) -> DataFrame:
+    """Rows for the prefixes (None: all with a member), or with sky the skyline's points alone: each task reads the graph and takes a run of first coordinates."""
+    graph = settled(graph)
+    kind, dims, base = graph.kind, graph.dims, graph.base
+    counts = dict(graph.degrees().where("dim = 0").groupBy("degree").agg(F.count("*")).collect())
+    if prefixes is None:
+        firsts = list(range(base, max([base, *counts]) + 1))
+    else:
+        firsts = sorted({p[0] for p in prefixes})
+
+    def batches_of(found: CompactArrays, prefix: tuple[int, ...], last: np.ndarray, here: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(here), ROWS_AT_ONCE):
+            some = here[at : at + ROWS_AT_ONCE]
+            columns = [*(pa.array(np.full(len(some), p, np.int32)) for p in prefix), pa.array(found.ids[some], pa.int64()), pa.array(last[some])]
+            yield pa.RecordBatch.from_arrays(columns, names=[*(f"c{k}" for k in range(dims - 1)), "v", "last"])
+
+    def given(found: CompactArrays, mine: list[tuple[int, ...]]) -> Iterator[pa.RecordBatch]:
+        state, before = found.start(), (base,) * (dims - 1)
+        for prefix in mine:
+            if any(x < y for x, y in zip(prefix, before, strict=True)):
+                state = found.start()
+            found.peel(state, [*prefix, base])
+            last = found.last_values((state[0].copy(), state[1].copy()), prefix, base)
+            yield from batches_of(found, prefix, last, np.flatnonzero(last >= 0))
+            before = prefix
+
+    def every(found: CompactArrays, run: list[int]) -> Iterator[pa.RecordBatch]:
+        state, below = found.start(), None
+        for k in [*run, run[-1] + 1] if sky else run:
+            found.peel(state, [k, *[base] * (dims - 1)])
+            if not sky:
+                for prefix, last in found.walk(state, (k,), base):
+                    yield from batches_of(found, prefix, last, np.flatnonzero(last >= 0))
+                continue
+            now = dict(found.walk(state, (k,), base))
+            for prefix, last in (below or {}).items():
+                # Values fall along each coordinate, so a point is maximal if they do at each next prefix.
+                best = last >= 0
+                for i in range(dims - 1):
+                    after = (*prefix[:i], prefix[i] + 1, *prefix[i + 1 :])
+                    if (other := (now if i == 0 else below).get(after)) is not None:
+                        best &= other < last
+                yield from batches_of(found, prefix, last, np.flatnonzero(best))
+            below = now
+
+    def task(run: list[int]):
+        mine = None if prefixes is None else [p for p in prefixes if p[0] in set(run)]
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = CompactArrays(kind, dims, batches)
+            yield from every(found, run) if mine is None else given(found, mine)
+
+        return work
+
+    # Else Spark runs a union of single partitions as one task.
+    graph.edges.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    out = None
+    for run in _dealt(graph, firsts, counts):
+        part = flat(graph).coalesce(1).mapInArrow(task(run), _values_schema(dims - 1))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _in_tasks(graph: Graph) -> bool:
+    return graph.dims > 1 and ARRAY_EDGES < graph.edges.count() <= TASK_EDGES
+
+
 def _by_rounds(graph: Graph, prefixes: list[tuple[int, ...]]) -> DataFrame:
     out = None
     for prefix in prefixes:
@@ -79,12 +164,15 @@ def row_values(graph: Graph, prefixes: list[tuple[int, ...]] | None = None, engi
 
     Prefixes are found breadth-first: one has members only if those below it in each coordinate have.
     """
-    if engine not in ("auto", "arrays", "rounds"):
+    if engine not in ("auto", "arrays", "tasks", "rounds"):
         raise ValueError(f"unknown engine {engine!r}")
     graph = settled(graph)
-    shared = None if engine == "rounds" else shared_arrays(graph)
-    rows_of = (lambda p: _rows_for(graph, shared, p)) if shared is not None else (lambda p: _by_rounds(graph, p))
     width = graph.dims - 1
+    in_tasks = width > 0 and (engine == "tasks" or (engine == "auto" and _in_tasks(graph)))
+    if in_tasks and prefixes is None:
+        return _by_tasks(graph, None)
+    shared = None if in_tasks or engine == "rounds" else shared_arrays(graph)
+    rows_of = (lambda p: _by_tasks(graph, p)) if in_tasks else (lambda p: _rows_for(graph, shared, p)) if shared is not None else (lambda p: _by_rounds(graph, p))
     if prefixes is not None:
         if prefixes and any(len(p) != width for p in prefixes):
             raise ValueError(f"a prefix has {width} coordinates")
@@ -116,7 +204,11 @@ def row_values(graph: Graph, prefixes: list[tuple[int, ...]] | None = None, engi
 
 def skyline(graph: Graph, rows: DataFrame | None = None) -> DataFrame:
     """(c0, ..., c{D-1}, v): the maximal coordinates of each vertex."""
-    rows = row_values(graph) if rows is None else rows
+    if rows is None:
+        graph = settled(graph)
+        if _in_tasks(graph):
+            return _by_tasks(graph, None, sky=True).withColumnRenamed("last", f"c{graph.dims - 1}").select(*graph.coordinates, "v")
+        rows = row_values(graph)
     points = rows.withColumnRenamed("last", f"c{graph.dims - 1}").select(*graph.coordinates, "v")
     return maximal(points, graph.coordinates)
 
