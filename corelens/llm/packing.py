@@ -24,6 +24,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -67,7 +68,9 @@ def encoder(path: str | None = None):
 def token_ids(text: str | None, path: str | None = None) -> np.ndarray:
     text, own = text or "", encoder(path)
     special = any(x in text for x in SPECIAL)
-    return np.array([*(own.encode(text, allowed_special="all") if special else own.encode_ordinary(text)), END], "<u4")
+    ids = own.encode(text, allowed_special="all") if special else own.encode_ordinary(text)
+    ids.append(END)
+    return np.frombuffer(array("I", ids), "<u4")  # twice as fast as np.array
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -257,7 +260,8 @@ def reading_order(texts: list[bytes], sizes: list[int], filled: int, window: int
             if len(out) < n:
                 scores = index.scores(seed)
                 scores[used] = 0
-                ranked = iter(np.lexsort((np.arange(n), -scores))[: int((scores > 0).sum())].tolist()) if scores.any() else iter(())
+                near = np.flatnonzero(scores > 0)
+                ranked = iter(near[np.argsort(-scores[near], kind="stable")].tolist())
     return out
 
 
