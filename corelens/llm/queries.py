@@ -14,7 +14,7 @@ DOCS_PER_FILE = 5_000
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return few_files(suffix_dedup.dedup(docs), docs.count(), DOCS_PER_FILE)
+    return few_files(suffix_dedup.dedup_with_passages(docs), docs.count(), DOCS_PER_FILE)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

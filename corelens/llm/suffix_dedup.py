@@ -17,6 +17,9 @@ counting. Half by half that ends, at the latest with one window a piece, whose s
 
 Steps 1 and 2 tell strings apart by 128 bits of hash. Texts are shuffled twice, to cut out the pieces and to remove what was found.
 
+Passages that repeat but are too short to be removed are counted beside (`dedup_with_passages`): the steps run with their shorter strings, and what
+is removed is then sought only in the text under long enough runs of these (`longer_spans`), where every longer repeat lies.
+
 Defined cases: a null text is empty; a text shorter than `length` keeps all its bytes; equal rows are separate documents,
 so from `length` bytes on they remove each other whole; a null doc_id is kept; an empty table gives an empty table; further columns are ignored.
 """
@@ -36,6 +39,8 @@ from pyspark.sql import functions as F
 from corelens.session import bounded_batches, discard, written
 
 LENGTH, TRIGGER = 400, 16
+#: A passage: a run of at least so many words under strings of so many bytes that also start elsewhere (50 words of under four letters).
+PASSAGE_WORDS, PASSAGE_BYTES = 50, 200
 #: Mean bytes of a phrase.
 PHRASE = 64
 #: Pieces of one key that a task sorts, and pieces that it sorts at a time.
@@ -338,7 +343,35 @@ def _sorted_out(pieces: DataFrame, shape: Shape) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, shape: Shape = Shape(), core_limit: int = CORE_LIMIT) -> DataFrame:
     """(doc_id, h, lo, hi): in the document with this key, every window that starts from lo to hi also starts elsewhere."""
-    keyed = _keyed(docs)
+    return _repeated(_keyed(docs), shape, core_limit)
+
+
+def longer_spans(docs: DataFrame, spans: DataFrame, shape: Shape, longer: Shape, core_limit: int = CORE_LIMIT) -> DataFrame:
+    """repeated_spans(docs, longer) from spans, those of shape: a longer repeated window lies, as does its equal, under a run of shorter ones. Only the text under long enough runs is read again."""
+    by_doc = spans.groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).withColumnsRenamed({"doc_id": "_doc", "h": "_h"})
+    held = _keyed(docs).where(F.octet_length("text") >= longer.length).join(by_doc, F.expr("doc_id <=> _doc and h = _h")).select("doc_id", "h", "text", "spans")
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, h, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                merged: list[list[int]] = []
+                for lo, hi in sorted((x["lo"], x["hi"]) for x in found):
+                    if merged and lo <= merged[-1][1] + 1:
+                        merged[-1][1] = max(merged[-1][1], hi)
+                    else:
+                        merged.append([lo, hi])
+                rows += [(doc, h, lo, text[lo : hi + shape.length]) for lo, hi in merged if hi - lo >= longer.length - shape.length]
+            yield _batch(rows, [pa.int64(), pa.int64(), pa.int32(), pa.binary()], ["doc_id", "whole", "begin", "text"])
+
+    made = held.mapInArrow(runs, "doc_id long, whole long, begin int, text binary")
+    regions = written(made.withColumn("h", F.xxhash64("whole", "begin")), "regions")
+    found = _repeated(regions.select("doc_id", "h", "text"), longer, core_limit)
+    origin = regions.select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), "whole", "begin").distinct()
+    return found.join(origin, F.expr("doc_id <=> _doc and h = _h")).select("doc_id", F.col("whole").alias("h"), (F.col("lo") + F.col("begin")).alias("lo"), (F.col("hi") + F.col("begin")).alias("hi"))
+
+
+def _repeated(keyed: DataFrame, shape: Shape, core_limit: int) -> DataFrame:
     parsed = written(_parsed(keyed, shape), "parse")
     whole = ["doc_id", "h", "lo", "hi"]
     entries = parsed.where("c is not null")
@@ -378,31 +411,44 @@ def remove(text: bytes, spans: list[tuple[int, int]], length: int = LENGTH, leas
     return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), len(edges)
 
 
-def _removed(docs: DataFrame, keep: bool, length: int = LENGTH, least_words: int = 0) -> DataFrame:
-    """The digest of every row, with the kept text and a struct `rest` of the other columns if asked to keep them."""
+def _removed(docs: DataFrame, keep: bool, length: int = LENGTH, least_words: int = 0, passages: tuple[int, int] | None = None) -> DataFrame:
+    """The digest of every row, with the kept text and a struct `rest` of the other columns if asked to keep them. passages: bytes and words of those that are counted."""
     bounded_batches(docs.sparkSession)
-    spans = repeated_spans(docs, Shape(length)).groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).withColumnsRenamed({"doc_id": "_doc", "h": "_h"})
+    if passages:
+        shorter = written(repeated_spans(docs, Shape(passages[0])), "spans")
+        found = longer_spans(docs, shorter, Shape(passages[0]), Shape(length)).withColumn("passage", F.lit(False)).unionByName(shorter.withColumn("passage", F.lit(True)))
+    else:
+        found = repeated_spans(docs, Shape(length))
+    spans = found.groupBy("doc_id", "h").agg(F.collect_list(F.struct(*found.columns[2:])).alias("spans")).withColumnsRenamed({"doc_id": "_doc", "h": "_h"})
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] if keep else []
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), F.struct(F.lit(0).alias("_"), *rest).alias("rest"))
     joined = keyed.join(spans, F.expr("doc_id <=> _doc and h = _h"), "left").select("doc_id", "text", "spans", "rest")
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "rest"]
-    kinds = [pa.int64()] * 4 + [pa.string(), pa.string()]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_bytes", "kept", "rest"]
+    kinds = [pa.int64()] * 4 + [pa.string()] + [pa.int64()] * 2 + [pa.string()]
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, text, found in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                kept, n, runs = remove(text, [(x["lo"], x["hi"]) for x in found or ()], length, least_words)
-                rows.append((doc, len(text), n, runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep else None))
+                kept, n, runs = remove(text, [(x["lo"], x["hi"]) for x in found or () if not x.get("passage")], length, least_words)
+                _, covered, count = remove(text, [(x["lo"], x["hi"]) for x in found or () if x.get("passage")], *passages) if passages else (None, None, None)
+                rows.append((doc, len(text), n, runs, hashlib.sha256(kept).hexdigest(), count, covered, kept.decode("utf-8", "ignore") if keep else None))
             made = _batch(rows, kinds, names[:-1])
             yield pa.RecordBatch.from_arrays([*made.columns, batch.column(3)], names=names)
 
-    return joined.mapInArrow(removed, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, rest {joined.schema['rest'].dataType.simpleString()}")
+    return joined.mapInArrow(removed, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_bytes long, kept string, rest {joined.schema['rest'].dataType.simpleString()}")
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    return _removed(docs, False, length).drop("kept", "rest")
+    return _removed(docs, False, length).drop("n_passages", "n_passage_bytes", "kept", "rest")
+
+
+def dedup_with_passages(docs: DataFrame, length: int = LENGTH, passage_bytes: int = PASSAGE_BYTES, passage_words: int = PASSAGE_WORDS) -> DataFrame:
+    """As dedup, with n_passages and n_passage_bytes: the repeated passages that a text holds and the bytes under them. They are counted, not removed."""
+    if passage_bytes > length:
+        raise ValueError("passages are sought by strings that are no longer than those removed")
+    return _removed(docs, False, length, passages=(passage_bytes, passage_words)).drop("kept", "rest")
 
 
 def dedup_documents(docs: DataFrame, length: int = LENGTH, least_words: int = 0) -> DataFrame:

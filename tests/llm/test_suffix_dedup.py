@@ -124,3 +124,34 @@ def test_a_hot_core_is_split(spark):
     raw = [t.encode() for t in texts]
     counts = collections.Counter(t[a : a + 400] for t in raw for a in range(len(t) - 399))
     assert got == {k: found for k, t in enumerate(raw) if (found := {a for a in range(len(t) - 399) if counts[t[a : a + 400]] > 1})}
+
+
+@pytest.mark.parametrize("seed", [6, 7])
+def test_passages_below_the_removed_length_are_counted(spark, tmp_path, seed):
+    """The query removes by 400 bytes as ever and counts passages of 50 words that are shorter; both as brute force has them."""
+    from corelens.llm import queries
+
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passage, line = prose(55), prose(40)
+    texts = _corpus(seed) + [f"{prose(20)} {passage} {prose(20)}" for _ in range(4)] + [f"{prose(20)} {line} {prose(20)}" for _ in range(4)] + [prose(60)]
+    assert len(passage) < 400 and 200 < len(line)
+    rows = [(k, t) for k, t in enumerate(texts)] + [(3, texts[3]), (None, texts[4]), (None, passage), (7, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    raw = [(t or "").encode() for _, t in rows]
+    removed, counted = naive(raw), naive(raw, sd.PASSAGE_BYTES, sd.PASSAGE_WORDS)
+    want = collections.Counter((k, *a, b[2], b[1]) for (k, _), a, b in zip(rows, removed, counted))
+    out = queries.op1_suffix_array_dedup(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_bytes"]
+    assert collections.Counter(map(tuple, out.collect())) == want
+    planted, other = counted[len(texts) - 9 : len(texts) - 5], counted[len(texts) - 5 : len(texts)]
+    assert all(n >= len(passage) and runs == 1 for _, n, runs, _ in planted) and not any(runs for _, _, runs, _ in other)
+
+
+@pytest.mark.parametrize("limit", [2, 20_000])
+def test_longer_spans_are_those_of_the_whole_texts(spark, limit):
+    df = spark.createDataFrame(list(enumerate(_corpus(8))), "doc_id long, text string")
+    starts = lambda spans: {(r.doc_id, a) for r in spans.collect() for a in range(r.lo, r.hi + 1)}
+    shorter = sd.repeated_spans(df, sd.Shape(200))
+    assert starts(sd.longer_spans(df, shorter, sd.Shape(200), sd.Shape(400), limit)) == starts(sd.repeated_spans(df))
